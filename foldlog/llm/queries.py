@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination
+from foldlog.llm import chat, decontamination, neardup
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
@@ -41,6 +41,10 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_dart_minhash": op4_dart_minhash,
     "op6_compression_bands": op6_compression_bands,
     "op10_decontamination": op10_decontamination,
 }
