@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination, neardup
+from foldlog.llm import chat, decontamination, linededup, neardup
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
@@ -49,6 +49,11 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op9_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_recurring_lines(docs, dropped_col="n_dropped")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontamination.contamination(docs, benchmark).drop("hit_chars")
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_dart_minhash": op4_dart_minhash,
     "op6_compression_bands": op6_compression_bands,
+    "op9_log_templates": op9_log_templates,
     "op10_decontamination": op10_decontamination,
 }
 
