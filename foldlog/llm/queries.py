@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination, linededup, neardup
+from foldlog.llm import chat, decontamination, langid, licences, linededup, mixing, neardup
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+    named = [F.coalesce(c, F.lit(mixing.NONE)).alias(c) for c in ("source", "lang")]
+    return mixed.select("doc_id", *named, "topic", "tokens", "probability", "sampled")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -45,10 +51,18 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.without_recurring_lines(docs, dropped_col="n_dropped")
@@ -60,11 +74,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_dart_minhash": op4_dart_minhash,
+    "op5_licence_scan": op5_licence_scan,
     "op6_compression_bands": op6_compression_bands,
+    "op8_language_id": op8_language_id,
     "op9_log_templates": op9_log_templates,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL = {"op2_chat_formatting": OP2_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.mixing_sql(), "op2_chat_formatting": OP2_SQL}
