@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination, langid, licences, linededup, mixing, neardup
+from foldlog.llm import chat, decontamination, extraction, langid, licences, linededup, mixing, neardup
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
@@ -59,6 +59,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_dart_minhash": op4_dart_minhash,
     "op5_licence_scan": op5_licence_scan,
     "op6_compression_bands": op6_compression_bands,
+    "op7_tree_scoring": op7_tree_scoring,
     "op8_language_id": op8_language_id,
     "op9_log_templates": op9_log_templates,
     "op10_decontamination": op10_decontamination,
