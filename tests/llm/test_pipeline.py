@@ -1,5 +1,4 @@
 import re
-import zlib
 from collections import defaultdict
 
 import corpus_pipeline
@@ -57,7 +56,6 @@ def test_run_gives_a_weighted_sample(spark):
     docs = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert out and {r["doc_id"] for r in out} <= docs and len({r["doc_id"] for r in out}) == len(out)
     assert all(r["probability"] > 0 and abs(r["weight"] * r["probability"] - 1) < 1e-9 for r in out)
-    assert zlib.crc32(b"") == 0
 
 
 def test_compression_bands():
@@ -69,6 +67,6 @@ def test_compression_bands():
     z = zstandard.ZstdCompressor(level=3)
     prose = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400))
     turned = " ".join(" ".join([rng.choice(["alpha", "beta", "gamma", "delta"]) + str(i)] * 6) for i in range(60))
-    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(12)) for _ in range(200))
+    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(24)) for _ in range(300))
     kept = {name: quality.measured(text, z)[6] for name, text in {"prose": prose, "turned": turned, "noise": noise, "empty": "", "null": None}.items()}
     assert kept == {"prose": True, "turned": False, "noise": False, "empty": False, "null": False}
