@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination, extraction, langid, licences, linededup, mixing, neardup
+from foldlog.llm import chat, decontamination, extraction, langid, licences, linededup, mixing, neardup, pii
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
@@ -47,6 +47,10 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_semi_markov_pii": op3_semi_markov_pii,
     "op4_dart_minhash": op4_dart_minhash,
     "op5_licence_scan": op5_licence_scan,
     "op6_compression_bands": op6_compression_bands,
