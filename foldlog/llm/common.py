@@ -51,9 +51,22 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def word_string(text: Column) -> Column:
-    """Words of a text, lower-cased, single spaces between them; empty for null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased where it matters: other letters may be lower-cased too, but none of them becomes a-z.
+
+    ``lower`` is several times faster than ``translate``; only for two letters does it give ASCII ones.
+    """
+    special = text.contains("\u0130") | text.contains("\u212a")
+    return F.when(special, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def word_string(text: Column, exact: bool = True) -> Column:
+    """Words of a text, A-Z lower-cased, single spaces between them; empty for null.
+
+    With ``exact`` false other letters may be lower-cased too (``ascii_lower``): their words' places stay the same.
+    """
+    text = F.coalesce(text, F.lit(""))
+    lowered = F.translate(text, UPPER, LOWER) if exact else ascii_lower(text)
     return F.trim(F.regexp_replace(lowered, WORD_GAP, " "))
 
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.llm.common import LOWER, UPPER, quoted, shared_dir, word_string, written
+from foldlog.llm.common import LOWER, UPPER, ascii_lower, quoted, shared_dir, word_string, written
 
 CONTAINMENT = 0.8
 BROADCAST_ROWS = 200_000
@@ -58,8 +58,9 @@ def template_words(text: str) -> list[str]:
 
 def _blocks(docs: DataFrame, text_col: str, vocabulary: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Each line's distinct words that a template has, in the order of the line; lines without any are left out."""
-    lowered = F.translate(F.coalesce(quoted(text_col), F.lit("")), UPPER, LOWER)
-    lines = F.explode(F.split(F.regexp_replace(lowered, _GAP, " "), "\n"))
+    lowered = ascii_lower(F.coalesce(quoted(text_col), F.lit("")))
+    # The outer form: for the plain one the optimizer adds a filter that splits the texts a second time.
+    lines = F.explode_outer(F.split(F.regexp_replace(lowered, _GAP, " "), "\n"))
     known = F.array(*[F.lit(w) for w in vocabulary])
     return docs.select(*extra, lines.alias("line")).select(*[c for c in ("doc", "text_key", "text_key2") if extra], F.array_intersect(F.split("line", " "), known).alias("words")).where(F.size("words") > 0)
 
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     spark = docs.sparkSession
     shared_dir(spark)
     padded = docs.select(
-        quoted(id_col).alias("doc"), F.xxhash64(quoted(text_col)).alias("text_key"), F.hash(quoted(text_col)).alias("text_key2"), F.concat(F.lit(" "), word_string(quoted(text_col)), F.lit(" ")).alias("s")
+        quoted(id_col).alias("doc"), F.xxhash64(quoted(text_col)).alias("text_key"), F.hash(quoted(text_col)).alias("text_key2"), F.concat(F.lit(" "), word_string(quoted(text_col), exact=False), F.lit(" ")).alias("s")
     )
     places, firsts, lasts, labels = [], [], [], []
     for phrase, label in phrases:
