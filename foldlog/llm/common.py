@@ -1,9 +1,7 @@
-"""Helpers shared by the operators on text: table access, shared storage, and a batched text mapper."""
+"""Helpers shared by the operators on text: table access, words, and a batched text mapper."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from foldlog.sources.shared import shared_dir, written  # noqa: F401  (the operators take them from here)
+
 #: A word of the licence and benchmark operators, once A-Z is lower-cased: a run of these characters.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,23 +34,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (local tests) a temporary one is used."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased where it matters: other letters may be lower-cased too, but none of them becomes a-z.
 
