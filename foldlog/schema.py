@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldlog.sources.shared import ship
+
 PUT, DELETE = "PUT", "DELETE"
 
 EVENT = T.StructType([
@@ -36,6 +38,7 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

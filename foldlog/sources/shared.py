@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their PYTHONPATH has it: its functions run there by name."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if getattr(context, "_package_shipped", False):
+        return
+    context._package_shipped = True
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        base = Path(tempfile.mkdtemp(prefix="package-")) / "package"
+        context.addPyFile(shutil.make_archive(str(base), "zip", root, Path(__file__).resolve().parents[1].name))
