@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from foldlog.sources.shared import shared_dir, written  # noqa: F401  (the operators take them from here)
+from foldlog.sources.shared import shared_dir, ship, written  # noqa: F401  (the operators take them from here)
 
 #: A word of the licence and benchmark operators, once A-Z is lower-cased: a run of these characters.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,6 +66,7 @@ def map_texts(
     sequence for each field of ``out``. Columns in ``carry`` pass through unchanged, but for those whose
     names ``out`` also has: the new column takes their place.
     """
+    ship(df.sparkSession)
     names = {f.name for f in out}
     keep = [c for c in dict.fromkeys(carry) if c not in names]
     fields = [df.schema[c] for c in keep]
