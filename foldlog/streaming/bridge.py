@@ -51,8 +51,7 @@ class Bridge(StatefulProcessor):
             elif r.kind == "part":
                 emit(seq, r.op, r.key, r.body)
                 following = seq + 1
-                if self.held.containsKey((seq,)):
-                    self.held.removeKey((seq,))
+                continue  # what is held waits for the end of the range: the range may have left it out
             elif not self.held.containsKey((seq,)):
                 self.held.updateValue((seq,), (r.op, r.key, r.body))
             while self.held.containsKey((following,)):
