@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlog.llm import chat, decontamination, extraction, langid, licences, linededup, mixing, neardup, pii
+from foldlog.llm import chat, decontamination, extraction, langid, licences, linededup, mixing, neardup, oracle, pii
 from foldlog.llm import quality as rules
 from foldlog.llm.common import read_table
 
@@ -32,21 +32,6 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP2_SQL = r"""
-WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id,
-  count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(9 + length(role || text) + len(regexp_extract_all(role || text, '[\\<>\[\]]')))::BIGINT AS formatted_chars
-FROM rows GROUP BY conv_id
-"""
-
-
 def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -94,4 +79,10 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.mixing_sql(), "op2_chat_formatting": OP2_SQL}
+ORACLE_SQL = {
+    "op1_mixing": mixing.mixing_sql(),
+    "op2_chat_formatting": oracle.CHAT,
+    "op4_dart_minhash": oracle.NEAR_DUPLICATES,
+    "op5_licence_scan": oracle.licence_scan(),
+    "op10_decontamination": oracle.DECONTAMINATION,
+}
