@@ -24,6 +24,9 @@ WORD_BYTES = bytes(
 #: Rows handed to a text function at once, so that Python objects of one slice are freed before the next.
 SLICE_ROWS = 512
 
+#: Rows of a thin table up to which it is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +56,11 @@ def word_string(text: Column, exact: bool = True) -> Column:
     return F.trim(F.regexp_replace(lowered, WORD_GAP, " "))
 
 
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The same table, broadcast if a count shows that it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def map_texts(
     df: DataFrame,
     carry: Sequence[str],
