@@ -7,9 +7,10 @@ similarity. A set throws about k ln k + 2k darts whatever its size.
 
 Flow: one pass over the texts gives each document a digest of its words (equal digests: exact copies) and a
 signature. Distinct digests are banded. In a bucket of up to SMALL members all pairs are candidates; in a larger one
-every member is paired with the bucket's hub, verified and joined into components, and only buckets that still hold
-several components are split further by combining their key with other bands. Candidates are verified by exact
-similarity; classes are connected components.
+every member is paired with the bucket's hub, verified and joined into components, and buckets that still hold
+several components are split by combining their key with other bands. Members of buckets that hold several components
+even then are compared by an exact prefix-filter join over their elements, rarest first, so no pair of them is left out.
+Candidates are verified by exact similarity; classes are connected components.
 
 Nothing whole goes through one task or the driver: groups are aggregated before they are joined, hot keys only take
 part in joins that the engine can split, and components are found by passing smallest labels along edges.
@@ -182,7 +183,7 @@ def _band_keys(sig: Column) -> Column:
 
 
 def _pairs(members: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of members (node, key), and the members of buckets over SMALL (node, key).
+    """Some candidate pairs (a, b) of members (node, key), and the members of buckets over SMALL (node, key).
 
     A bucket's size and hub are aggregated (with partial sums) and joined back, so no bucket has to fit in a task. The
     hub is the member whose number, with the bits of ``mask`` turned over, is the smallest.
@@ -226,20 +227,47 @@ def likely_among(df: DataFrame, ids: DataFrame, id_column: Column) -> DataFrame:
     return joined.where(bit == 1).drop("__bucket", "__bits")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, weighting: str, similarity: float) -> DataFrame:
-    """Pairs (a, b) of at least the given exact similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
+    """Elements (node, shingles) of the wanted nodes (node); only their texts are read whole."""
     known = written(docs.sparkSession, nodes.join(wanted, "node", "left_semi").select("node", "digest", F.col("doc").alias("__id")), "wanted")
     texts = docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
     few = likely_among(texts, known, F.col("__id"))
     # Several texts may have the id (or no id): the digest tells which one is meant.
     sets = element_sets(few, "__id", "__text", weighting).where(F.col("digest").isNotNull())
-    sets = written(docs.sparkSession, sets.join(known.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
+    return written(docs.sparkSession, sets.join(known.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of at least the given exact similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _prefix_pairs(sets: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) in different components that can be as similar as that: they share an element of their prefixes.
+
+    With the elements in one order, rarest first, a set of n elements meets one no smaller among its first
+    n - 2s/(1+s) n + 1, and one no larger among its first n - s n + 1. What a frame of many sets repeats comes last.
+    Elements that one set alone has fill its prefix and join nothing.
+    """
+    spark = sets.sparkSession
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("element"))
+    counts = each.groupBy("element").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    listed = each.join(counts, "element").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "element"))).alias("all"))
+    length = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("all"))).cast("int")
+    cut = listed.withColumns({"probed": length(similarity), "indexed": length(2 * similarity / (1 + similarity))}).where("probed > 0")
+    names = joined.select("node", F.col("label.node").alias("name"))
+    cut = cut.select("node", "n", "indexed", F.slice("all", F.lit(1), F.col("probed")).alias("all")).join(names, "node", "left").withColumn("name", F.coalesce("name", "node"))
+    first = cut.select("node", "n", "name", "indexed", F.posexplode("all").alias("i", "x"))
+    first = written(spark, first.select("node", "n", "name", (F.col("i") < F.col("indexed")).alias("indexed"), "x.element"), "prefixes")
+    some = first.groupBy("element").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.max("indexed").alias("any")).where("least != most AND any").select("element")
+    met = first.join(some, "element", "left_semi")
+    large, small = met.select("element", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "name")]), met.where("indexed").drop("indexed")
+    both = large.join(small, "element").where((F.col("name_x") != F.col("name")) & (F.struct("n_x", "node_x") > F.struct("n", "node")) & (F.col("n") >= F.lit(similarity) * F.col("n_x") - 1e-9))
+    return both.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
 def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest label of each node's connected component. ``labels``: (node, label) of all nodes of the edges."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
@@ -265,9 +293,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = written(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # once written, numbers stay
     labels = nodes.select("node", F.struct("doc", "node").alias("label"))
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets(wanted, docs, nodes, id_col, text_col, weighting)
+
+    def links(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         likely = written(spark, _estimated(pairs, nodes), "candidates")
-        return written(spark, _verified(likely, docs, nodes, id_col, text_col, weighting, similarity), "links")
+        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()) if sets is None else sets
+        return written(spark, _verified(likely, sets, similarity), "links")
 
     def joined_by(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -278,16 +310,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     pairs, large = _pairs(nodes.select("node", F.explode(keys).alias("key")), F.lit(0).cast("long"))
     edges = links(pairs)
     joined = joined_by(edges)
-    # Large buckets that hold more than one component so far are split once by further bands, each under its own order.
-    now = large.join(joined.select("node", F.col("label.node").alias("name")), "node", "left").withColumn("name", F.coalesce("name", "node"))
-    several = now.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least != most").select("key")
-    left = written(spark, now.select("node", "key").join(several, "key", "left_semi"), "large")
+
+    def several(members: DataFrame) -> DataFrame:
+        now = members.join(joined.select("node", F.col("label.node").alias("name")), "node", "left").withColumn("name", F.coalesce("name", "node"))
+        keys = now.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least != most").select("key")
+        return written(spark, now.select("node", "key").join(keys, "key", "left_semi"), "large")
+
+    # Large buckets that hold more than one component so far are split by further bands, each under its own order.
+    left = several(large)
     if left.limit(1).count():
         further = left.join(nodes.select("node", keys.alias("keys")), "node")
         others = F.transform(F.sequence(F.lit(1), F.lit(FANOUT)), lambda i: F.xxhash64("key", F.element_at("keys", ((F.array_position("keys", F.col("key")) - 1 + i) % BANDS + 1).cast("int"))))
         pairs, _ = _pairs(further.select("node", F.explode(others).alias("key")), F.xxhash64("key"))
         edges = edges.unionByName(links(_apart(pairs, joined)))
         joined = joined_by(edges)
+        # What bands don't bring together is compared by its elements, in all buckets that still hold several components.
+        left = several(left)
+        if left.limit(1).count():
+            sets = sets_of(left.select("node").distinct())
+            edges = edges.unionByName(links(_prefix_pairs(sets, joined, similarity), sets))
+            joined = joined_by(edges)
     named = nodes.select("digest", "doc", "node").join(joined, "node", "left").select("digest", F.when(F.col("label").isNotNull(), F.col("label.doc")).otherwise(F.col("doc")).alias("class_id"))
     out = rows.select("doc", "digest").join(named, "digest", "left")
     class_id = F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("class_id"))

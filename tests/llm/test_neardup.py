@@ -62,6 +62,26 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def framed(n=450, seed=5):
+    """Texts of one frame, pairwise under the threshold, each with a near copy just above it."""
+    rng = random.Random(seed)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    frame, rows = [word() for _ in range(200)], []
+    for _ in range(n):
+        own = [word() for _ in range(29)]
+        rows += [frame + own, frame + own[:7] + [word() for _ in range(22)]]
+    rng.shuffle(rows)
+    return [(i, " ".join(words)) for i, words in enumerate(rows)]
+
+
+def test_near_copies_within_a_large_group_of_unlike_texts(spark):
+    rows = framed()
+    wanted = brute_classes(rows)
+    assert len(set(wanted.values())) == len(rows) // 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(df).collect()} == wanted
+
+
 def test_repeated_and_null_rows(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c, d e f", None), (None, "q r s", "y"), (None, None, "z"), (3, "", "v")]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
