@@ -33,6 +33,8 @@ from foldlog.llm.common import map_texts, rows_of
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_WORDS = 6
+#: Words of a stretch decoded at once, and words on both sides that are decoded with them: far more than MAX_WORDS.
+WINDOW, MARGIN = 192, 32
 #: Words on either side of a trigger that may stand in one stretch with it.
 GENERATED, EPOCHS, RATE = 600, 8, 0.3
 #: An added span needs at least so great a share of the probability of its stretch.
@@ -376,8 +378,10 @@ def added_spans(text: str, field: SemiMarkovField, base: Sequence[Span], known:
     out: list[Span] = []
     taken = sorted((s, e) for _, s, e in base)
     for places in stretches(text):
-        for lo in range(0, len(places), 64):  # a longer run of numbers is cut; entities are far shorter
-            part = places[lo : lo + 64]
+        done = 0  # words up to here belong to entities found
+        for lo in range(0, len(places), WINDOW):  # an entity is taken from the window it begins in, where it lies whole
+            first = max(0, lo - MARGIN)
+            part = places[first : lo + WINDOW + MARGIN]
             words = [text[a:b] for a, b in part]
             if all(any(s <= a and b <= e for s, e in taken) for (a, b), w in zip(part, words, strict=True) if _TRIGGER.search(w)) if len(taken) < 50 else False:
                 continue
@@ -387,6 +391,9 @@ def added_spans(text: str, field: SemiMarkovField, base: Sequence[Span], known:
                     known.clear()
                 known[key] = field.decode(words)
             for i, j, y, p in known[key]:
+                if not lo <= first + i < lo + WINDOW or first + i < done:
+                    continue
+                done = first + j
                 start, end = part[i][0], part[j - 1][1]
                 piece = text[start:end]
                 inner = piece.strip(_EDGE) if y != 4 else piece.rstrip(_EDGE).lstrip(_EDGE.replace("(", ""))

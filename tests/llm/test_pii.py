@@ -91,6 +91,15 @@ def test_added_spans_never_touch_base_ones_or_clean_text(field):
     assert pii.added_spans("words only, none of them odd " * 50, field, [], {}) == []
 
 
+def test_long_lists_lose_nothing(field):
+    numbers = [f"(555) {200 + i:03d}-{4000 + i}" for i in range(400)]
+    for lead in ("call", "call us on"):
+        text = f"{lead} " + ", ".join(numbers)
+        base = pii.base_spans(text)
+        more = pii.added_spans(text, field, base, {})
+        assert [text[a:b] for k, a, b in more if k == "phone"] == numbers and len(more) == len(numbers)
+
+
 def test_query_columns(spark):
     texts = [None, "", "x a@b.co y", "é 10.0.0.1 +44 20 7946 0958", "x a@b.co y"]
     df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
