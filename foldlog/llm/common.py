@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from foldlog.sources.shared import shared_dir, ship, written  # noqa: F401  (the operators take them from here)
+from foldlog.sources.shared import shared_dir, ship, tidy, written  # noqa: F401  (the operators take them from here)
 
 #: A word of the licence and benchmark operators, once A-Z is lower-cased: a run of these characters.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,8 +24,8 @@ WORD_BYTES = bytes(
 #: Rows handed to a text function at once, so that Python objects of one slice are freed before the next.
 SLICE_ROWS = 512
 
-#: Rows of a thin table up to which it is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a table is broadcast; beyond them the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,43 @@ def word_string(text: Column, exact: bool = True) -> Column:
     return F.trim(F.regexp_replace(lowered, WORD_GAP, " "))
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The same table, broadcast if a count shows that it has few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sized(df: DataFrame, row_bytes: int | Column = 64, most: int | None = None) -> DataFrame:
+    """The same table, broadcast if it has few bytes. ``row_bytes``: a bound for each row, or its bytes."""
+    most = BROADCAST_BYTES if most is None else most
+    if isinstance(row_bytes, int):
+        few = df.limit(most // row_bytes + 1).count() <= most // row_bytes
+    else:
+        few = (df.agg(F.sum(row_bytes + 64)).first()[0] or 0) <= most
+    return F.broadcast(df) if few else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, changed where the table has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Smallest label of each node's connected component. ``labels``: (node, label) of all nodes of ``edges`` (a, b).
+
+    A label is a struct whose field ``node`` names the node it comes from.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
+    both = written(spark, both.distinct(), "edges")
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        down = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        # Follow the new label one step further: the node it names may know a smaller one.
+        names = down.select(F.col("node").alias("name"), F.col("new").alias("further"))
+        jump = down.join(names, F.col("new.node") == F.col("name"), "left")
+        after = written(spark, jump.select("node", F.least("new", F.coalesce("further", "new")).alias("next"), "label"), "labels")
+        labels = after.select("node", F.col("next").alias("label"))
+        if not after.where(F.col("next") != F.col("label")).limit(1).count():
+            return labels
 
 
 def map_texts(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldlog.llm.common import WORD_BYTES, map_texts, quoted, rows_of, shared_dir, sized, written
+from foldlog.llm.common import WORD_BYTES, components, map_texts, quoted, rows_of, shared_dir, sized, tidy, unused, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -268,22 +268,6 @@ def _prefix_pairs(sets: DataFrame, joined: DataFrame, similarity: float) -> Data
     return both.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smallest label of each node's connected component. ``labels``: (node, label) of all nodes of the edges."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
-    both = written(spark, both.distinct(), "edges")
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        down = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        # Follow the new label one step further: the node it names may know a smaller one.
-        names = down.select(F.col("node").alias("name"), F.col("new").alias("further"))
-        jump = down.join(names, F.col("new.node") == F.col("name"), "left")
-        after = written(spark, jump.select("node", F.least("new", F.coalesce("further", "new")).alias("next"), "label"), "labels")
-        labels = after.select("node", F.col("next").alias("label"))
-        if not after.where(F.col("next") != F.col("label")).limit(1).count():
-            return labels
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: its id, ``class_id`` (smallest id of its class) and ``representative``."""
     spark = docs.sparkSession
