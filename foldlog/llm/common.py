@@ -86,9 +86,11 @@ def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> Data
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         down = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        # Follow the new label one step further: the node it names may know a smaller one.
-        names = down.select(F.col("node").alias("name"), F.col("new").alias("further"))
-        jump = down.join(names, F.col("new.node") == F.col("name"), "left")
+        down = written(spark, down, "labels")
+        # Follow the new label one step further: the node it names may know a smaller one. Names are fewer than nodes.
+        named = down.select(F.col("new.node").alias("name")).distinct()
+        known = down.where(F.col("new.node") != F.col("node")).select(F.col("node").alias("name"), F.col("new").alias("further"))
+        jump = down.join(sized(written(spark, known.join(named, "name", "left_semi"), "names"), 64), F.col("new.node") == F.col("name"), "left")
         after = written(spark, jump.select("node", F.least("new", F.coalesce("further", "new")).alias("next"), "label"), "labels")
         labels = after.select("node", F.col("next").alias("label"))
         if not after.where(F.col("next") != F.col("label")).limit(1).count():
