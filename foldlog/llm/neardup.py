@@ -1,23 +1,25 @@
 """Near-duplicate classes by DartMinHash signatures, banding and exact verification.
 
-Elements are shingles of five words. Every element owns regions of (weight x rank); hashed darts fall into them as
-a Poisson process along the rank, so two sets see the same darts in what they share. Of the darts that fall below an
-element's weight the earliest of each coordinate is kept: equal coordinates estimate the (weighted) Jaccard
-similarity. A set throws about k ln k + 2k darts whatever its size.
+Elements are shingles of five words; an element's weight is how often the text has it (weighting ``count``; with
+``set`` every weight is 1). Every element owns regions of (weight x rank); hashed darts fall into them as a Poisson
+process along the rank, so two texts see the same darts in what they share. Of the darts that fall below an element's
+weight the earliest of each coordinate is kept: equal coordinates estimate the weighted Jaccard similarity, the sum of
+the smaller weights over the sum of the larger ones. A text throws about k ln k + 2k darts whatever its size.
 
 Flow: one pass over the texts gives each document a digest of its words (equal digests: exact copies) and a
 signature. Distinct digests are banded. In a bucket of up to SMALL members all pairs are candidates; in a larger one
-every member is paired with the bucket's hub, verified and joined into components, and buckets that still hold
-several components are split by combining their key with other bands. Members of buckets that hold several components
-even then are compared by an exact prefix-filter join over their elements, rarest first, so no pair of them is left out.
-Candidates are verified by exact similarity; classes are connected components.
+every member is paired with the bucket's hub, verified and joined into components. Members of buckets that hold several
+components even then are compared by an exact prefix-filter join over their elements, rarest first, so no pair of them
+is left out. Candidates are verified by exact weighted similarity; classes are connected components. Classes are what is
+returned, not links: within a group of copies these would be all pairs.
 
 Nothing whole goes through one task or the driver: groups are aggregated before they are joined, hot keys only take
 part in joins that the engine can split, and components are found by passing smallest labels along edges.
 
 Defined cases: null and empty texts have no words and each such row is a class of its own; texts of one to four
 words have one shingle; very long texts are hashed in blocks; a class is named by its smallest id (null ids only if
-all its ids are null); repeated rows are exact copies; an empty table gives an empty table; other columns are unused.
+all its ids are null); ties between ids go by the text; repeated rows are exact copies; an empty table gives an empty
+table; other columns are unused, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDS = BANDS * ROWS
 SMALL = 8
-#: Bands that the key of a large bucket is combined with to split it: half of the others, so each pair of bands once.
-FANOUT = 12
 #: Size of the bitmap that tells which texts verification needs: one megabyte, whatever the input.
 BITS = 1 << 23
 #: Estimated similarity under which a candidate isn't verified: four standard deviations below the threshold.
@@ -79,22 +79,27 @@ def _word_hashes(spaced: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def elements(text: str | None, weighting: str = "set") -> tuple[bytes | None, np.ndarray]:
-    """Digest of the words, and the sorted distinct element ids (with ``count``: one id for each copy of a shingle)."""
+def elements(text: str | None, weighting: str = "count") -> tuple[bytes | None, np.ndarray, np.ndarray]:
+    """Digest of the words, the sorted distinct element ids, and their weights."""
     spaced = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES)
     words = _word_hashes(spaced)
     if not len(words):
-        return None, np.zeros(0, np.uint64)
+        return None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     digest = hashlib.blake2b(b" ".join(spaced.split()), digest_size=16).digest()
     width = min(SHINGLE_WORDS, len(words))
     keys = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
         keys = keys * _FOLD + words[i : len(words) - width + 1 + i]
     ids, counts = np.unique(mixed(keys), return_counts=True)
-    if weighting == "count":
-        copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = np.unique(mixed(np.repeat(ids, counts) + copy.astype(np.uint64) * _U(0xD1342543DE82EF95)))
-    return digest, ids
+    return digest, ids, counts if weighting == "count" else np.ones_like(counts)
+
+
+def expanded(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sorted ids with one of its own for each unit of weight: the shared ones of two texts sum up the smaller weights."""
+    if weights.max(initial=0) <= 1:
+        return ids
+    copy = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    return np.unique(np.where(copy == 0, np.repeat(ids, weights), mixed(np.repeat(ids, weights) + copy.astype(np.uint64) * _U(0xD1342543DE82EF95))))
 
 
 def signature(ids: np.ndarray, weights: np.ndarray | None = None, k: int = COORDS) -> np.ndarray:
@@ -155,25 +160,27 @@ def _arrivals(seeds: np.ndarray, wide: float, limit: float):
 
 
 DIGEST = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-SETS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+SETS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
     """For each row: id, digest of the words and signature (16 bits a coordinate). Both null without words."""
 
     def one(text):
-        digest, ids = elements(text, weighting)
-        return (digest, None if digest is None else signature(ids).astype(">u2").tobytes())
+        digest, ids, weights = elements(text, weighting)
+        if digest is None:
+            return None, None
+        return digest, signature(ids, weights if weights.max() > 1 else None).astype(">u2").tobytes()
 
     return map_texts(docs, [id_col], text_col, lambda: lambda texts: rows_of(2, [one(t) for t in texts]), DIGEST)
 
 
-def element_sets(docs: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
-    """For each row: digest and elements, folded to 32 bits."""
+def element_sets(docs: DataFrame, text_col: str, weighting: str) -> DataFrame:
+    """For each row: digest and elements, one for each unit of weight."""
 
     def one(text):
-        digest, ids = elements(text, weighting)
-        return digest, np.unique(ids.astype(np.uint32)).view(np.int32)
+        digest, ids, weights = elements(text, weighting)
+        return digest, expanded(ids, weights).view(np.int64)
 
     return map_texts(docs, [], text_col, lambda: lambda texts: rows_of(2, [one(t) for t in texts]), SETS)
 
@@ -182,15 +189,15 @@ def _band_keys(sig: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(sig, b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
 
 
-def _pairs(members: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
+def _pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Some candidate pairs (a, b) of members (node, key), and the members of buckets over SMALL (node, key).
 
-    A bucket's size and hub are aggregated (with partial sums) and joined back, so no bucket has to fit in a task. The
-    hub is the member whose number, with the bits of ``mask`` turned over, is the smallest.
+    A bucket's size and hub (the smallest number) are aggregated, with partial sums, and joined back, so no bucket has to
+    fit in a task.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(mask)).alias("least")).where("n > 1")
-    placed = members.join(sizes, "key").select("node", "key", "n", F.col("least").bitwiseXOR(mask).alias("hub"))
-    placed = written(members.sparkSession, placed, "placed")
+    spark = members.sparkSession
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    placed = written(spark, members.join(sized(written(spark, sizes, "buckets"), 48), "key"), "placed")
     listed = placed.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     first = listed.select("all", F.posexplode("all").alias("i", "a"))
     within = first.select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
@@ -199,13 +206,6 @@ def _pairs(members: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
     return within.unionByName(star).distinct(), large.select("node", "key")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't known to be in one component."""
-    names = joined.select("node", F.col("label.node").alias("name"))
-    both = pairs.join(names.toDF("a", "name_a"), "a", "left").join(names.toDF("b", "name_b"), "b", "left")
-    return both.where(F.col("name_a").isNull() | F.col("name_b").isNull() | (F.col("name_a") != F.col("name_b"))).select("a", "b")
-
-
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree often enough to be worth verifying."""
     sigs = nodes.select("node", "sig")
@@ -216,25 +216,26 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(equal >= least * COORDS).select("a", "b")
 
 
-def likely_among(df: DataFrame, ids: DataFrame, id_column: Column) -> DataFrame:
-    """Rows whose id may be one of ``ids`` (a column ``__id``): a bitmap of BITS bits, at most, is all that is broadcast."""
+def likely_among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id may be one of ``ids`` (its only column): a bitmap of BITS bits, at most, is all that is broadcast."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    bits = ids.select(place(F.col("__id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
-    at = F.bitmap_bit_position(place(id_column))
-    octet = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(place(id_column)) == F.col("__bucket"))
+    bucket, bits, own = unused(df, "bucket", "bits", "place")
+    made = ids.select(place(F.col(ids.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    at = F.bitmap_bit_position(quoted(own))
+    octet = F.conv(F.hex(F.substring(quoted(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn(own, place(quoted(id_col))).join(F.broadcast(made), F.bitmap_bucket_number(quoted(own)) == quoted(bucket))
     bit = F.floor(octet / F.pow(F.lit(2), at % 8)) % 2
-    return joined.where(bit == 1).drop("__bucket", "__bits")
+    return joined.where(bit == 1).select(*[quoted(c) for c in df.columns])
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
     """Elements (node, shingles) of the wanted nodes (node); only their texts are read whole."""
-    known = written(docs.sparkSession, nodes.join(wanted, "node", "left_semi").select("node", "digest", F.col("doc").alias("__id")), "wanted")
-    texts = docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
-    few = likely_among(texts, known, F.col("__id"))
+    known = written(docs.sparkSession, nodes.join(wanted, "node", "left_semi").select("node", "digest", "doc"), "wanted")
+    texts = docs.select(quoted(id_col).alias("doc"), quoted(text_col).alias("text"))
+    few = likely_among(texts, known.select("doc"), "doc")
     # Several texts may have the id (or no id): the digest tells which one is meant.
-    sets = element_sets(few, "__id", "__text", weighting).where(F.col("digest").isNotNull())
-    return written(docs.sparkSession, sets.join(known.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
+    sets = element_sets(few, "text", weighting).where(F.col("digest").isNotNull())
+    return written(docs.sparkSession, sets.join(sized(known.select("digest", "node"), 64), "digest").dropDuplicates(["node"]).select("node", "shingles"), "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -268,12 +269,14 @@ def _prefix_pairs(sets: DataFrame, joined: DataFrame, similarity: float) -> Data
     return both.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighting: str = "set", similarity: float = SIMILARITY) -> DataFrame:
+@tidy
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighting: str = "count", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: its id, ``class_id`` (smallest id of its class) and ``representative``."""
     spark = docs.sparkSession
     shared_dir(spark)
     rows = written(spark, digests(docs, id_col, text_col, weighting).select(quoted(id_col).alias("doc"), "digest", "sig"), "digests")
-    nodes = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
+    with_words = rows.where(F.col("digest").isNotNull())
+    nodes = with_words.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))
     nodes = written(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # once written, numbers stay
     labels = nodes.select("node", F.struct("doc", "node").alias("label"))
 
@@ -289,47 +292,42 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         return components(spark, edges, labels.join(ends, "node", "left_semi"))
 
-    keys = _band_keys(F.col("sig"))
-    # One order for all buckets at first: a group meets few hubs, and often the same ones.
-    pairs, large = _pairs(nodes.select("node", F.explode(keys).alias("key")), F.lit(0).cast("long"))
+    # One order for all buckets: a group meets few hubs, and often the same ones.
+    pairs, large = _pairs(nodes.select("node", F.explode(_band_keys(F.col("sig"))).alias("key")))
     edges = links(pairs)
     joined = joined_by(edges)
-
-    def several(members: DataFrame) -> DataFrame:
-        now = members.join(joined.select("node", F.col("label.node").alias("name")), "node", "left").withColumn("name", F.coalesce("name", "node"))
-        keys = now.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least != most").select("key")
-        return written(spark, now.select("node", "key").join(keys, "key", "left_semi"), "large")
-
-    # Large buckets that hold more than one component so far are split by further bands, each under its own order.
-    left = several(large)
+    # Large buckets that hold several components so far: their members are compared by their elements.
+    now = large.join(sized(joined.select("node", F.col("label.node").alias("name")), 48), "node", "left").withColumn("name", F.coalesce("name", "node"))
+    several = now.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least != most").select("key")
+    left = written(spark, large.join(sized(written(spark, several, "several"), 32), "key", "left_semi").select("node").distinct(), "left")
     if left.limit(1).count():
-        further = left.join(nodes.select("node", keys.alias("keys")), "node")
-        others = F.transform(F.sequence(F.lit(1), F.lit(FANOUT)), lambda i: F.xxhash64("key", F.element_at("keys", ((F.array_position("keys", F.col("key")) - 1 + i) % BANDS + 1).cast("int"))))
-        pairs, _ = _pairs(further.select("node", F.explode(others).alias("key")), F.xxhash64("key"))
-        edges = edges.unionByName(links(_apart(pairs, joined)))
+        sets = sets_of(left)
+        edges = edges.unionByName(links(_prefix_pairs(sets, joined, similarity), sets))
         joined = joined_by(edges)
-        # What bands don't bring together is compared by its elements, in all buckets that still hold several components.
-        left = several(left)
-        if left.limit(1).count():
-            sets = sets_of(left.select("node").distinct())
-            edges = edges.unionByName(links(_prefix_pairs(sets, joined, similarity), sets))
-            joined = joined_by(edges)
-    named = nodes.select("digest", "doc", "node").join(joined, "node", "left").select("digest", F.when(F.col("label").isNotNull(), F.col("label.doc")).otherwise(F.col("doc")).alias("class_id"))
-    out = rows.select("doc", "digest").join(named, "digest", "left")
-    class_id = F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("class_id"))
-    return out.select(F.col("doc").alias(id_col), class_id.alias("class_id"), F.col("doc").eqNullSafe(class_id).alias("representative"))
+    class_id = F.when(F.col("label").isNotNull(), F.col("label.doc")).otherwise(F.col("doc"))
+    named = written(spark, nodes.select("digest", "doc", "node").join(sized(joined, 64), "node", "left").select("digest", class_id.alias("class_id")), "named")
+    found = with_words.select("doc", "digest").join(sized(named, 64), "digest").select("doc", "class_id")
+    # Rows without words are set aside: a join by the digest would bring them all together.
+    alone = rows.where(F.col("digest").isNull()).select("doc", F.col("doc").alias("class_id"))
+    return found.unionByName(alone).select(F.col("doc").alias(id_col), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
+@tidy
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, and every row without words. All columns are kept."""
+    """The rows of ``docs`` that stay: one of each class, and every row without words. All columns are kept.
+
+    Rows of one id are told apart by nothing but their content: all of them stay if one is its class's
+    representative, equal rows once.
+    """
     spark = docs.sparkSession
-    classes = written(spark, near_duplicate_classes(docs, id_col, text_col), "classes")
-    stay = classes.groupBy(quoted(id_col).alias("__id")).agg(F.max("representative").alias("__stay"), F.count(F.lit(1)).alias("__rows"))
-    same = quoted(id_col).eqNullSafe(F.col("__id"))
+    classes = written(spark, near_duplicate_classes(docs, id_col, text_col).toDF("id", "class_id", "representative"), "classes")
+    stay = classes.groupBy("id").agg(F.max("representative").alias("stay"), F.count(F.lit(1)).alias("rows"))
+    (own,) = unused(docs, "id")
+    same = quoted(id_col).eqNullSafe(quoted(own))
     # What goes is joined, not what stays: these rows are fewer, and if a count shows that they are few no text is shuffled.
-    left = docs.join(sized(stay.where(~F.col("__stay")).select("__id")), same, "left_anti")
-    repeated = stay.where("__stay AND __rows > 1").select("__id")
+    left = docs.join(sized(stay.where(~F.col("stay")).select(F.col("id").alias(own)), 32), same, "left_anti")
+    repeated = stay.where("stay AND rows > 1").select(F.col("id").alias(own))
     if repeated.limit(1).count():
-        repeated = sized(repeated)
+        repeated = sized(repeated, 32)
         left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(docs.columns))
     return left

@@ -28,9 +28,9 @@ FROM rows GROUP BY conv_id
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
-sh AS (SELECT DISTINCT rid, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS k FROM d WHERE len(w) > 0)),
-n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
-common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+sh AS (SELECT rid, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS s, count(*) AS m FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS k FROM d WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT rid, sum(m) AS n FROM sh GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, sum(least(a.m, b.m)) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
 links AS (SELECT x, y FROM common JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE c >= 0.8 * (p.n + q.n - c)),
 sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT rid, rid FROM d UNION SELECT reach.x, sides.y FROM reach JOIN sides ON reach.y = sides.x),
