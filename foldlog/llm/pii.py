@@ -4,23 +4,28 @@ Base spans come from four fixed patterns, scanned in linear time over whole text
 
 The field labels segments, not words: features look at a whole candidate span (its shape, its digits, its checks, the
 word before it), and bounded-entity dynamic programming chooses boundaries and kinds together. Entities have at most
-MAX_WORDS words; a word can only be part of one if it holds a digit or an at sign, or joins two that do, so the program
-runs over stretches of such words and the rest of a text is outside without further work.
-
-The field is trained here: by gradient ascent on the exact log-likelihood of segmentations, over sentences drawn from
-a seeded generator (GENERATED of them). Training needs no documents and gives the same weights everywhere.
-
-Defined cases: null and empty texts have no spans; texts of any length are taken whole; base spans are always kept,
-added spans never overlap them; repeated rows get equal results; an empty table gives an empty table; input columns
-named like an output column are replaced by it.
+MAX_WORDS words; a word can only be part of one if it holds a digit or an at sign, joins two that do, names a secret
+just before one, or belongs to an address that is spelled out (jo at example dot com), so the program runs over
+stretches of such words and the rest of a text is outside without further work.
+
+The field is trained here, once in a process: by gradient ascent on the exact log-likelihood of segmentations, over
+sentences drawn from a seeded generator (GENERATED of them). Training needs no documents and gives the same weights
+everywhere. Secrets without any digit are not found.
+
+Defined cases: null and empty texts have no spans; texts of any length are taken whole, long stretches in windows that
+overlap by far more than an entity; base spans are always kept, added spans never overlap them or each other; of
+segmentations of equal score the first found is taken; repeated rows get equal results; an empty table gives an empty
+table; input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -29,20 +34,19 @@ from pyspark.sql import types as T
 
 from foldlog.llm.common import map_texts, rows_of
 
-#: Kinds in the order of all listings; the last one is the field's own.
-KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds in the order of all listings; the last ones are the field's own: secrets, and national numbers of persons.
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
 BASE_KINDS = KINDS[:4]
-MAX_WORDS = 6
+MAX_WORDS = 8
 #: Words of a stretch decoded at once, and words on both sides that are decoded with them: far more than MAX_WORDS.
 WINDOW, MARGIN = 192, 32
-#: Words on either side of a trigger that may stand in one stretch with it.
-GENERATED, EPOCHS, RATE = 600, 8, 0.3
+GENERATED, EPOCHS, RATE = 900, 10, 0.3
 #: An added span needs at least so great a share of the probability of its stretch.
 CERTAIN = 0.9
 
 OUT = T.StructType(
     [T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS]
-    + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
+    + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType()), T.StructField("n_spans", T.LongType())]
 )
 
 # The base patterns. Possessive repetition and the look-behind change no match: a failing start inside a run of
@@ -104,16 +108,23 @@ def base_spans(text: str) -> list[Span]:
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIGGER = re.compile(r"[0-9@]")
+_SPACES = " \t\n\v\f\r"
 _EDGE = "\"'()[]{}<>,;:!?."
 _HEX = re.compile(r"[0-9a-fA-F]{12,}")
-_KEYED = re.compile(r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?\s*[=:]\s*[\"']?[^\s\"']{6,}")
-_JOIN = frozenset(("=", ":", "-", "at", "dot", "(at)", "[at]"))
+_KEYED = re.compile(r"(?i)[\w.-]*(password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential)[\w.-]*[\"']?\s*[=:]\s*[\"']?[^\s\"']{6,}")
+_JOIN = frozenset(("=", ":", "-", "at", "dot", "(at)", "[at]", "(dot)", "[dot]"))
+_DOT, _AT_SIGN = r"(?: dot | ?[\[(]dot[\])] ?)", r"(?: at | ?[\[(]at[\])] ?)"
+_SPELLED = re.compile(rf"(?i)[\w+-]+(?:{_DOT}[\w+-]+)*{_AT_SIGN}[\w-]+(?:{_DOT}[\w-]+)+")
+#: Prefixes by which common services mark their keys.
+_PREFIXED = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|sk_test_|rk_live_|AIza|ya29\.|AKIA|ASIA)[\w.-]{14,}")
+_NATIONAL = re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}|[A-CEGHJ-PR-TW-Z][A-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]")
 _CUES = {
     "email": ("mail", "email", "e-mail", "contact", "write", "courriel"),
     "ip": ("ip", "host", "server", "address", "from"),
     "card": ("card", "visa", "mastercard", "credit", "carte", "karte"),
     "phone": ("phone", "tel", "call", "fax", "mobile", "telefon"),
     "secret": ("password", "token", "key", "secret", "passwd", "pwd", "auth"),
+    "id": ("ssn", "nino", "insurance", "security", "social"),
 }
 
 
@@ -130,6 +141,10 @@ def span_features(words: Sequence[str], i: int, j: int) -> list[str]:
             out.append("email-shape")
         elif re.fullmatch(r"[\w.%+-]+ ?@ ?[\w-]+( ?\. ?[\w-]+)+", s):
             out.append("spaced-email")
+    if _SPELLED.fullmatch(s):
+        out.append("spelled-email")
+    if _NATIONAL.fullmatch(s):
+        out.append("national")
     parts = s.split(".")
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
         out.append("ip-shape" if all(map(_octet, parts)) else "four-parts")
@@ -143,13 +158,15 @@ def span_features(words: Sequence[str], i: int, j: int) -> list[str]:
             out.append("plus")
         if re.fullmatch(r"\+?[0-9]{0,3}[ .-]?(\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})", s):
             out.append("phone-shape")
+        if re.fullmatch(r"\(?0[0-9]{1,4}\)?([ -][0-9]{2,4}){2,4}|\(?0[0-9]{2,4}\)?[ -][0-9]{5,8}", s) and 9 <= n <= 11:
+            out.append("national-phone")
         if re.fullmatch(r"[0-9]{1,4}([/.:-][0-9]{1,4}){1,2}", s):
             out.append("date-like")
     if _KEYED.fullmatch(s):
         out.append("keyed")
     if j - i == 1 and letters and n >= 3:
-        if re.fullmatch(r"AKIA[0-9A-Z]{16}", s):
-            out.append("key-id")
+        if _PREFIXED.fullmatch(s):
+            out.append("key-prefix")
         elif _HEX.fullmatch(s) and 4 * n > len(s):
             out.append("hex")
         elif len(s) >= 16 and s.isascii() and re.fullmatch(r"[A-Za-z0-9_+/=-]+", s):
@@ -158,7 +175,7 @@ def span_features(words: Sequence[str], i: int, j: int) -> list[str]:
     for kind, cues in _CUES.items():
         if before in cues:
             out.append(f"cue={kind}")
-    if not s or (j - i > 1 and not (_TRIGGER.search(words[i]) and _TRIGGER.search(words[j - 1])) and not _KEYED.search(s)):
+    if not s or (j - i > 1 and not (_TRIGGER.search(words[i]) and _TRIGGER.search(words[j - 1])) and not _KEYED.search(s) and "spelled-email" not in out):
         out.append("loose-ends")
     return out
 
@@ -193,35 +210,32 @@ class SemiMarkovField:
                 out[i, j][0] = -np.inf
         return out
 
-    def _forward(self, n: int, scores) -> np.ndarray:
-        a = np.full((n + 1, len(self.labels)), -np.inf)
+    def _forward(self, n: int, scores) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums of all segmentations up to a place by their last label, and the same after the move to a next label."""
+        k = len(self.labels)
+        a, left = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k))
         for j in range(1, n + 1):
-            found = []
-            for i in range(max(0, j - MAX_WORDS), j):
-                left = np.zeros(len(self.labels)) if i == 0 else _logsum(a[i][:, None] + self.t, 0)
-                found.append(left + scores[i, j])
-            a[j] = _logsum(np.array(found), 0)
-        return a
-
-    def _backward(self, n: int, scores) -> np.ndarray:
-        b = np.full((n + 1, len(self.labels)), -np.inf)
-        b[n] = 0.0
-        for i in range(n - 1, 0, -1):
-            found = [_logsum(self.t + (scores[i, j] + b[j])[None, :], 1) for j in range(i + 1, min(n, i + MAX_WORDS) + 1)]
-            b[i] = _logsum(np.array(found), 0)
-        return b
+            a[j] = _logsum(np.array([left[i] + scores[i, j] for i in range(max(0, j - MAX_WORDS), j)]), 0)
+            left[j] = _logsum(a[j][:, None] + self.t, 0)
+        return a, left
+
+    def _backward(self, n: int, scores) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums of what follows a place by the label before it, and by the label of the segment that begins there."""
+        k = len(self.labels)
+        b, right = np.zeros((n + 1, k)), np.full((n + 1, k), -np.inf)
+        for i in range(n - 1, -1, -1):
+            right[i] = _logsum(np.array([scores[i, j] + b[j] for j in range(i + 1, min(n, i + MAX_WORDS) + 1)]), 0)
+            b[i] = _logsum(self.t + right[i][None, :], 1)
+        return b, right
 
     def marginals(self, n: int, scores) -> tuple[float, dict[tuple[int, int], np.ndarray], np.ndarray]:
         """Log of the partition sum, probabilities of all labelled segments, expected label transitions."""
-        a, b = self._forward(n, scores), self._backward(n, scores)
+        (a, left), (b, right) = self._forward(n, scores), self._backward(n, scores)
         z = float(_logsum(a[n], 0))
-        seg, moves = {}, np.zeros_like(self.t)
-        for (i, j), s in scores.items():
-            left = np.zeros(len(self.labels)) if i == 0 else _logsum(a[i][:, None] + self.t, 0)
-            seg[i, j] = np.exp(left + s + b[j] - z)
-            if i:
-                moves += np.exp(a[i][:, None] + self.t + (s + b[j])[None, :] - z)
-        return z, seg, moves
+        at = np.array(list(scores))
+        p = np.exp(left[at[:, 0]] + np.array(list(scores.values())) + b[at[:, 1]] - z)
+        moves = np.exp(a[1:n, :, None] + self.t + right[1:n, None, :] - z).sum(axis=0)
+        return z, dict(zip(scores, p, strict=True)), moves
 
     def train(self, sentences: Sequence[tuple[list[str], list[tuple[int, int, int]]]], epochs: int = EPOCHS, rate: float = RATE, ridge: float = 1e-4) -> float:
         """Gradient ascent (with AdaGrad steps) on the log-likelihood; gives its last mean."""
@@ -296,25 +310,38 @@ def generated(n: int = GENERATED, seed: int = 29) -> list[tuple[list[str], list[
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {b} {c}"])
+        inland = rng.choice([f"0{num(2)} {num(4)} {num(4)}", f"0{num(4)} {num(6)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(3)} {num(3)} {num(4)}"])
+        return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {b} {c}", inland, inland])
 
     def email() -> str:
         a, h = name() + rng.choice(["", ".", "_"]) + rng.choice(["", num(2)]), f"{name()}.{rng.choice(['com', 'org', 'net'])}"
-        return rng.choice([f"{a or 'x'}@{h}", f"{name()}@{h}", f"{name()} @ {h}"])
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+        spelled = dot.join(name() for _ in range(rng.randint(1, 2))) + at + name() + dot + rng.choice(["com", "org", "net"])
+        return rng.choice([f"{a or 'x'}@{h}", f"{name()}@{h}", f"{name()} @ {h}", spelled])
 
     def secret() -> str:
         value = rng.choice(["".join(rng.choices("0123456789abcdef", k=rng.choice([18, 32, 40]))), "".join(rng.choices(string.ascii_letters + string.digits, k=24))])
-        key = rng.choice(["password", "token", "api_key", "secret"])
-        return rng.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16))])
+        key = rng.choice(["password", "token", "api_key", "secret", "pwd", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "client_secret", "auth_token"])
+        some = "".join(rng.choices(string.ascii_letters + string.digits, k=rng.choice([20, 36])))
+        phrase = "".join(rng.choices(string.ascii_letters + string.digits + "&!$/+", k=rng.randint(8, 14))) + num(1)
+        slashed = "".join(rng.choices(string.ascii_letters + string.digits + "/+", k=39)) + num(1)
+        value = rng.choice([value, value, phrase, slashed])
+        named = rng.choice(["ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "AIza"]) + some
+        return rng.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)), named])
+
+    def person() -> str:
+        nino = "".join(rng.choices("ABCEGHJKLMNPRSTWXYZ", k=2)) + rng.choice([" ", ""]).join(["", num(2), num(2), num(2), rng.choice("ABCD")])
+        return rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}", nino])
 
     def other() -> str:
         return rng.choice([
             num(rng.randint(1, 8)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)}:{num(2)}", f"{num(1)}.{num(2)}.{num(1)}", f"${num(3)}.{num(2)}",
             f"{num(2)}%", f"v{num(1)}.{num(1)}", name() + num(2), f"{num(3)},{num(3)},{num(3)}", f"@{name()}", num(rng.randint(10, 12)), "1" + num(15), f"{num(4)} {num(4)}", "300.4.5." + num(3),
             "".join(rng.choices("0123456789abcdef", k=8)), f"{name()}-{num(3)}", f"({num(4)})", f"{num(1)} {num(2)} {num(1)} {num(3)}",
+            f"{num(4)}-{num(4)}", f"{num(2)}-{num(3)}-{num(3)}", f"{num(5)}-{num(4)}", f"{name()} at {num(2)}", f"{name()}={num(3)}", f"{name()}: {num(5)}", f"ISBN {num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
         ])
 
-    makers = {1: email, 2: lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), 3: card, 4: phone, 5: secret}
+    makers = {1: email, 2: lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), 3: card, 4: phone, 5: secret, 6: person}
     out = []
     for _ in range(n):
         words: list[str] = []
@@ -330,7 +357,7 @@ def generated(n: int = GENERATED, seed: int = 29) -> list[tuple[list[str], list[
 
         add(name(), 0)
         for _ in range(rng.randint(1, 3)):
-            y = rng.choice([0, 0, 1, 2, 3, 4, 5])
+            y = rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 5, 6])
             if y and rng.random() < 0.2:
                 add(rng.choice(_CUES[KINDS[y - 1]]), 0)
             text = makers[y]() if y else other()
@@ -341,24 +368,55 @@ def generated(n: int = GENERATED, seed: int = 29) -> list[tuple[list[str], list[
     return out
 
 
+@functools.cache
 def trained() -> SemiMarkovField:
     made = SemiMarkovField()
     made.train(generated())
     return made
 
 
+def _words_before(text: str, low: int, high: int, n: int) -> list[tuple[int, int]]:
+    """The last ``n`` words of a part of a text, however far they stand from its end."""
+    found: list[tuple[int, int]] = []
+    while len(found) < n:
+        while high > low and text[high - 1] in _SPACES:
+            high -= 1
+        if high <= low:
+            break
+        start = max(low, *(text.rfind(c, low, high) + 1 for c in _SPACES))
+        found.append((start, high))
+        high = start
+    return found[::-1]
+
+
+def _triggers(text: str) -> Iterable[tuple[int, int]]:
+    """Words that may be part of an entity, in order."""
+    spelled: list[tuple[int, int]] = []
+    if " dot " in (low := text.lower()) or "[dot]" in low or "(dot)" in low:
+        for m in _SPELLED.finditer(text):
+            first = _words_before(text, 0, m.start() + 1, 1)[0][0]
+            place = max(first, spelled[-1][1] if spelled else 0)
+            while place < m.end() and (w := _WORD.search(text, place)) is not None and w.start() < m.end():
+                spelled.append(w.span())
+                place = w.end()
+    at = 0
+    for start, end in [*spelled, (len(text) + 1, len(text) + 1)]:
+        while (m := _TRIGGER.search(text, at)) is not None and m.start() < start:
+            begins = max(at, *(text.rfind(c, at, m.start()) + 1 for c in _SPACES))
+            w = _WORD.match(text, begins)
+            at = w.end()
+            yield w.span()
+        if at <= start < len(text):
+            at = end
+            yield start, end
+
+
 def stretches(text: str) -> Iterable[list[tuple[int, int]]]:
-    """Word places of stretches: words with a trigger, those that join them, and one word before."""
-    if not _TRIGGER.search(text):
-        return
+    """Word places of stretches: words with a trigger, those that join them, and one to three words before."""
     held: list[tuple[int, int]] = []
-    last = -1
-    at = 0
-    while (m := _TRIGGER.search(text, at)) is not None:
-        start = max(text.rfind(c, at, m.start()) for c in " \t\n\v\f\r") + 1
-        start = max(start, at)
-        w = _WORD.match(text, start)
-        earlier = [x.span() for x in _WORD.finditer(text, max(0, last, start - 64), start)][-3:]
+    last = 0
+    for start, end in _triggers(text):
+        earlier = _words_before(text, last, start, 3)
         between = [text[a:b].lower() for a, b in earlier]
         if held and (not earlier or all(x in _JOIN for x in between) and len(between) < 3):
             held += earlier
@@ -367,23 +425,45 @@ def stretches(text: str) -> Iterable[list[tuple[int, int]]]:
                 yield held
             keep = 3 if between and between[-1] in _JOIN else 1
             held = earlier[-keep:]
-        held.append(w.span())
-        at = last = w.end()
+        held.append((start, end))
+        last = end
     if held:
         yield held
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(e, ends[-1])
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def added_spans(text: str, field: SemiMarkovField, base: Sequence[Span], known: dict) -> list[Span]:
     """Entities of the field that overlap no base span, in order. ``known`` keeps results of equal stretches."""
     out: list[Span] = []
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = _merged((s, e) for _, s, e in base)
+
+    def within(a: int, b: int) -> bool:
+        k = bisect_right(starts, a) - 1
+        return k >= 0 and b <= ends[k]
+
+    def apart(a: int, b: int) -> bool:
+        k = bisect_right(ends, a)
+        return k == len(starts) or b <= starts[k]
+
     for places in stretches(text):
         done = 0  # words up to here belong to entities found
         for lo in range(0, len(places), WINDOW):  # an entity is taken from the window it begins in, where it lies whole
             first = max(0, lo - MARGIN)
             part = places[first : lo + WINDOW + MARGIN]
             words = [text[a:b] for a, b in part]
-            if all(any(s <= a and b <= e for s, e in taken) for (a, b), w in zip(part, words, strict=True) if _TRIGGER.search(w)) if len(taken) < 50 else False:
+            if starts and all(within(a, b) for (a, b), w in zip(part, words, strict=True) if _TRIGGER.search(w)):
                 continue
             key = tuple(words)
             if key not in known:
@@ -399,7 +479,7 @@ def added_spans(text: str, field: SemiMarkovField, base: Sequence[Span], known:
                 inner = piece.strip(_EDGE) if y != 4 else piece.rstrip(_EDGE).lstrip(_EDGE.replace("(", ""))
                 start += piece.find(inner) if inner else 0
                 end = start + len(inner)
-                if p >= CERTAIN and start < end and not any(s < end and start < e for s, e in taken):
+                if p >= CERTAIN and start < end and apart(start, end):
                     out.append((field.labels[y], start, end))
     return out
 
@@ -421,7 +501,7 @@ def find_pii(docs: DataFrame, carry: Sequence[str] = ("doc_id",), text_col: str
             base = base_spans(text)
             more = added_spans(text, field, base, known)
             counts = [sum(k == b[0] for b in base) for k in BASE_KINDS]
-            return (*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more))
+            return (*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more), len(base) + len(more))
 
         return lambda texts: rows_of(len(OUT), [one(t) for t in texts])
 
