@@ -16,7 +16,7 @@ string, so one conversation (not one user or one source) has to fit into a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template. A backslash never stands in escaped text but as the start of a code.
@@ -81,36 +81,23 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     turn = F.struct(
         F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), clean.alias("parts")
     )
-    turns = messages.select(F.col(f"`{conv_col}`").alias("conv_id"), turn.alias("message")).groupBy("conv_id").agg(F.array_sort(F.collect_list("message")).alias("messages"))
-    # Attachments are numbered through the conversation: each message needs the count of those before it. The common
-    # case without any needs no running count.
-    attached = F.flatten(F.transform("messages", lambda m: _attached(m["parts"])))
-    counts = F.transform("messages", lambda m: F.size(_attached(m["parts"])))
-    before = lambda i: F.when(F.size("attached") == 0, F.lit(0)).otherwise(
-        F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda a, n: a + n)
-    )
-    body = F.transform("messages", lambda m, i: F.struct(escaped(m["role"]).alias("role"), visited(m["parts"], before(i)).alias("content"), (m["role"] == "assistant").alias("loss")))
-    pieces = turns.withColumns({"attached": attached, "counts": counts}).withColumn("body", body)
-    # Where each content starts: lengths so far, as a list that grows by one.
-    width = lambda b: F.length(b["role"]) + F.length(b["content"]) + len(OPEN + ROLE_END + CLOSE)
-    starts = F.aggregate(
-        "body",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, b: F.struct(
-            (acc["at"] + width(b)).cast("bigint").alias("at"),
-            F.when(
-                b["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(b["role"]) + len(OPEN + ROLE_END)).cast("bigint").alias("start"), F.length(b["content"]).cast("bigint").alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    line = F.array_join(F.transform("body", lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(ROLE_END), b["content"], F.lit(CLOSE))), "")
+    # Numbers of attachments and places in the output are running sums over the turns of a conversation.
+    turns = messages.select(F.col(f"`{conv_col}`").alias("conv_id"), turn.alias("message"))
+    order = Window.partitionBy("conv_id").orderBy("message")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("before", F.coalesce(F.sum(F.size(_attached(F.col("message.parts")))).over(earlier), F.lit(0)))
+    body = turns.select("conv_id", "message", escaped(F.col("message.role")).alias("role"), visited(F.col("message.parts"), F.col("before")).alias("content"))
+    head = F.length("role") + len(OPEN + ROLE_END)
+    width = (head + F.length("content") + len(CLOSE)).cast("bigint")
+    placed = body.withColumns({"at": F.coalesce(F.sum(width).over(earlier), F.lit(0)), "number": F.row_number().over(order)})
+    line = F.concat(F.lit(OPEN), "role", F.lit(ROLE_END), "content", F.lit(CLOSE))
+    span = F.when(F.col("message.role") == "assistant", F.struct((F.col("at") + head).cast("bigint").alias("start"), F.length("content").cast("bigint").alias("length")))
+    row = F.struct("number", line.alias("line"), span.alias("span"), _attached(F.col("message.parts")).alias("attached"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    whole = whole.select("conv_id", "rows", F.flatten(F.transform("rows", lambda r: r["attached"])).alias("attached"))
     found = F.transform("attached", lambda p, i: F.struct(i.cast("bigint").alias("number"), p["kind"].alias("kind"), p["uri"].alias("uri"), p["units"].alias("units"), _tokens(p).alias("tokens")))
-    return pieces.select(
-        "conv_id", line.alias("formatted"), starts.alias("loss_spans"), found.alias("attachments"),
+    return whole.select(
+        "conv_id", F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("formatted"), F.array_compact(F.transform("rows", lambda r: r["span"])).alias("loss_spans"), found.alias("attachments"),
         F.aggregate(F.transform("attached", _tokens), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_tokens_attached"),
     )
 

@@ -9,8 +9,9 @@ larger benchmark is taken in blocks, one scan of the documents after another wit
 dropped at any size.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no windows; an item with
-fewer words than a window is one window; repeated items and rows each keep their own result; an empty benchmark
-or an empty table gives no hits; input columns named like an output column are replaced by it.
+fewer words than a window is one window; windows of an item without id are hits but name no item; repeated items
+count once, repeated rows each keep their own result; an empty benchmark or an empty table gives no hits; input
+columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldlog.llm.common import WORD_BYTES, map_texts, quoted, rows_of, word_string
+from foldlog.llm.common import WORD_BYTES, map_texts, quoted, rows_of, shared_dir, unused, word_string, written
 
 WINDOW_WORDS = 10
 MAX_WINDOWS = 50_000
@@ -46,7 +47,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     items = benchmark.select(quoted(id_col).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size + 1))
     windows = items.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, size), " "))).alias("window"))
-    return windows.groupBy("window").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("items"))
+    return windows.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _automaton(block) -> ahocorasick.Automaton:
@@ -107,6 +108,10 @@ def find_benchmark_text(
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text_col, size)
     blocks = max(1, -(-windows.count() // max_windows))
+    if blocks > 1:
+        shared_dir(spark)
+        windows = written(spark, windows, "windows")
+    (seen,) = unused(docs, "earlier")
     out = None
     for k in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else windows
@@ -122,11 +127,11 @@ def find_benchmark_text(
         if out is None:
             out = map_texts(docs, [*carry, text_col] if blocks > 1 else carry, text_col, make, FOUND)
         else:
-            earlier = out.withColumn("__earlier", F.struct("hit_words", "hit_chars", "hit_items"))
-            out = map_texts(earlier, [*carry, text_col, "__earlier"], text_col, make, FOUND)
+            earlier = out.withColumn(seen, F.struct("hit_words", "hit_chars", "hit_items"))
+            out = map_texts(earlier, [*carry, text_col, seen], text_col, make, FOUND)
             for name in ("hit_words", "hit_chars"):
-                out = out.withColumn(name, F.array_sort(F.array_union(f"__earlier.{name}", name)))
-            out = out.withColumn("hit_items", F.sort_array(F.array_union("__earlier.hit_items", "hit_items"))).drop("__earlier")
+                out = out.withColumn(name, F.array_sort(F.array_union(f"{seen}.{name}", name)))
+            out = out.withColumn("hit_items", F.sort_array(F.array_union(f"{seen}.hit_items", "hit_items"))).drop(seen)
     if out is None:  # no windows at all
         block = spark.sparkContext.broadcast(None)
 

@@ -1,15 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time. It labels every byte of a text from the states of
-both directions; a document's probabilities are the means over its bytes. Texts are read whole, in windows of WINDOW
-bytes that run through the network side by side.
+both directions; a document's probabilities are the means over its bytes. Texts are read whole, in windows that run
+through the network side by side; they overlap by MARGIN bytes at both ends, so that no byte is labelled from a state
+without context, and each byte counts once.
 
-Trained on a bounded sample: at most DOCS_A_LANGUAGE labelled documents of each language, taken by a hash of the id,
-and WINDOWS_A_DOC windows of each. Prediction reads the text alone.
+Trained on a bounded sample: at most DOCS_A_LANGUAGE labelled documents of each language, each the smallest by a hash of
+id and text in one of so many slots (the slot by another hash), and WINDOWS_A_DOC windows of each, cut on the executors.
+Repeated rows, also of null or equal ids, count once. Prediction reads the text alone.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without any labelled document everything
-is ``und``; null ids are never held out; repeated rows get equal results; languages are as many as the labels have;
-an empty table gives an empty table; input columns named like an output column are replaced by it.
+is ``und``; null ids are never held out; repeated rows get equal results; languages are as many as the labels have; of
+equal probabilities the first language in order is taken; an empty table gives an empty table; input columns named like
+an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldlog.llm.common import map_texts, quoted
+from foldlog.llm.common import map_texts, quoted, shared_dir, sized, written
 
 HIDDEN, WINDOW = 8, 64
+#: Bytes that a window of prediction labels, and those before and after them that it only reads.
+INNER, MARGIN = 112, 8
 DOCS_A_LANGUAGE, WINDOWS_A_DOC = 250, 6
 STEPS, BATCH, RATE = 260, 192, 0.02
 WINDOWS_TOGETHER = 1024
@@ -150,15 +155,19 @@ class ByteGru:
         """Mean probabilities of each text (which has at least one byte) over all its bytes."""
         total = np.zeros((len(texts), len(self.languages)))
         sizes = np.zeros(len(texts))
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []  # text, windows, bytes that count in each
         waiting = 0
         for i, text in enumerate(texts):
             data = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
             sizes[i] = len(data)
-            for at in range(0, len(data), WINDOW * WINDOWS_TOGETHER):
-                part = data[at : at + WINDOW * WINDOWS_TOGETHER]
-                held.append((i, part))
-                waiting += -(-len(part) // WINDOW)
+            n = -(-len(data) // INNER)
+            padded = np.frombuffer(b" " * MARGIN + data.ljust(n * INNER + MARGIN), np.uint8)
+            windows = np.lib.stride_tricks.sliding_window_view(padded, INNER + 2 * MARGIN)[::INNER]
+            counts = np.full(n, INNER)
+            counts[-1] = len(data) - (n - 1) * INNER
+            for at in range(0, n, WINDOWS_TOGETHER):
+                held.append((i, windows[at : at + WINDOWS_TOGETHER], counts[at : at + WINDOWS_TOGETHER]))
+                waiting += len(held[-1][1])
                 if waiting >= WINDOWS_TOGETHER:
                     self._add(held, total)
                     held, waiting = [], 0
@@ -166,53 +175,45 @@ class ByteGru:
             self._add(held, total)
         return total / np.maximum(sizes, 1)[:, None]
 
-    def _add(self, parts: list[tuple[int, bytes]], total: np.ndarray) -> None:
-        windows = [-(-len(p) // WINDOW) for _, p in parts]
-        data = np.frombuffer(b"".join(p.ljust(n * WINDOW) for (_, p), n in zip(parts, windows, strict=True)), np.uint8).reshape(-1, WINDOW)
-        starts = np.concatenate([[0], np.cumsum(windows)[:-1]])
-        for at in range(0, len(data), WINDOWS_TOGETHER):
-            block = data[at : at + WINDOWS_TOGETHER]
-            p = self.probabilities(self.states(block))
-            owner = np.searchsorted(starts, np.arange(at, at + len(block)), side="right") - 1
-            ends = starts[owner] * WINDOW + np.array([len(parts[o][1]) for o in owner])
-            length = np.minimum(WINDOW, ends - np.arange(at, at + len(block)) * WINDOW)
-            short = np.flatnonzero(length < WINDOW)
-            for k in short:
-                p[length[k] :, k] = 0
-            sums = p.sum(axis=0, dtype=np.float64)
-            np.add.at(total, np.array([parts[o][0] for o in owner]), sums)
+    def _add(self, parts: list[tuple[int, np.ndarray, np.ndarray]], total: np.ndarray) -> None:
+        data = np.concatenate([w for _, w, _ in parts])
+        owner = np.repeat([i for i, _, _ in parts], [len(w) for _, w, _ in parts])
+        counts = np.concatenate([n for _, _, n in parts])
+        p = self.probabilities(self.states(data))[MARGIN : MARGIN + INNER]
+        for k in np.flatnonzero(counts < INNER):
+            p[counts[k] :, k] = 0
+        np.add.at(total, owner, p.sum(axis=0, dtype=np.float64))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
-    """A network trained on labelled documents that aren't held out; None if there are none."""
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents to learn from: lang, slot, draw and ``windows`` (binary), at most DOCS_A_LANGUAGE of a language."""
+    spark = docs.sparkSession
+    shared_dir(spark)
     labelled = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
     labelled = labelled.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
+    labelled = labelled.select("lang", "text", F.pmod(F.hash("id", "text"), F.lit(DOCS_A_LANGUAGE)).alias("slot"), F.xxhash64("id", "text").alias("draw"))
+    least = written(spark, labelled.groupBy("lang", "slot").agg(F.min("draw").alias("draw")), "drawn")
+    chosen = labelled.join(sized(least, 128), ["lang", "slot", "draw"])
+    data = F.encode("text", "UTF-8")
+    room = F.greatest(F.octet_length("text") - WINDOW + 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.when(F.octet_length("text") > WINDOW, WINDOWS_A_DOC - 1).otherwise(0)), lambda k: F.substring(data, (F.pmod(F.xxhash64("draw", k), room) + 1).cast("int"), F.lit(WINDOW)))
+    return chosen.select("lang", "slot", "draw", cut.alias("windows")).groupBy("lang", "slot", "draw").agg(F.first("windows").alias("windows"))
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
+    """A network trained on labelled documents that aren't held out; None if there are none."""
+    rows = sorted(sampled(docs, id_col, text_col, lang_col).collect(), key=lambda r: (r["lang"], r["slot"], r["draw"]))
+    if not rows:
         return None
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, 1.3 * DOCS_A_LANGUAGE / n)) + 1)).otherwise(share)
-    rows = labelled.where(draw < share).select(draw.alias("draw"), "lang", "text").collect()
-    languages = sorted(counts)
-    rng = np.random.default_rng(5)
-    data, labels, taken = [], [], dict.fromkeys(languages, 0)
-    for row in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["text"])):
-        if taken[row["lang"]] >= DOCS_A_LANGUAGE:
-            continue
-        taken[row["lang"]] += 1
-        raw = row["text"].encode("utf-8", "surrogatepass").translate(_PLAIN)
-        for at in rng.integers(0, max(1, len(raw) - WINDOW + 1), WINDOWS_A_DOC if len(raw) > WINDOW else 1):
-            data.append(raw[at : at + WINDOW].ljust(WINDOW))
-            labels.append(languages.index(row["lang"]))
+    languages = sorted({r["lang"] for r in rows})
+    known = [(bytes(w).translate(_PLAIN).ljust(WINDOW), languages.index(r["lang"])) for r in rows for w in r["windows"]]
     net = ByteGru(languages)
     if len(languages) > 1:
-        net.train(np.frombuffer(b"".join(data), np.uint8).reshape(-1, WINDOW), np.array(labels))
+        net.train(np.frombuffer(b"".join(w for w, _ in known), np.uint8).reshape(-1, WINDOW), np.array([k for _, k in known]))
     return net
 
 

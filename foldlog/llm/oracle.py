@@ -22,7 +22,7 @@ SELECT conv_id,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(9 + length(role || text) + len(regexp_extract_all(role || text, '[\\<>\[\]]')))::BIGINT AS formatted_chars
+  sum(9 + length(role || text) + len(regexp_extract_all(role || text, '[\\<>\[\]]')))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS n_tokens_attached
 FROM rows GROUP BY conv_id
 """
 
@@ -66,7 +66,7 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT rid, k, n, item FROM dw JOIN bw USING (n, s)),
 places AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rid),
-ids AS (SELECT rid, list_sort(list(DISTINCT item)) AS l FROM hit GROUP BY rid)
+ids AS (SELECT rid, list_sort(list(DISTINCT item)) AS l FROM hit WHERE item IS NOT NULL GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (rid) LEFT JOIN ids USING (rid)

@@ -1,10 +1,12 @@
 """Quality rules: counts of a text, and compression bands that reject repetitive or incompressible documents.
 
-A text's zstandard ratio (compressed bytes over bytes) is compared with limits for its length, over the whole text
-and over fixed chunks. Short texts compress less than long ones, so each length has limits of its own.
+A text's zstandard ratio (compressed bytes over bytes) is compared with limits for its length, over the whole text and
+over all its chunks of CHUNK_BYTES, the last one of whatever is left. Short pieces compress less than long ones, so each
+length has limits of its own; chunks outside theirs may hold CHUNKS_OUTSIDE of the text's bytes.
 
 Defined cases: null and empty texts have no words and fail; texts of any length are taken whole; repeated rows get
-equal results; input columns named like an output column are replaced by it.
+equal results; a ratio on a limit is inside; an empty table gives an empty table; input columns named like an output
+column are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ LEVEL = 3
 CHUNK_BYTES = 4096
 #: Up to so many bytes: lowest and highest ratio of a whole text.
 BANDS = ((256, 0.40, 1.10), (1024, 0.28, 0.90), (4096, 0.20, 0.80), (16384, 0.15, 0.75), (1 << 62, 0.12, 0.72))
-#: The same for one chunk, and the share of chunks that may lie outside.
-CHUNK_BAND, CHUNKS_OUTSIDE = (0.15, 0.80), 0.3
+#: The same for one chunk (a frame's header alone is some 10 bytes), and the share of bytes that may lie in chunks outside.
+CHUNK_BANDS, CHUNKS_OUTSIDE = ((32, 0.0, 20.0), (128, 0.20, 1.45), (512, 0.20, 1.10), (2048, 0.18, 0.90), (CHUNK_BYTES, 0.15, 0.80)), 0.3
 
 OUT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -84,10 +86,9 @@ def measured(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
     repeated = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
     ratio = len(compressor.compress(data)) / len(data) if data else 0.0
-    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data) - CHUNK_BYTES // 2, CHUNK_BYTES)]
-    low, high = CHUNK_BAND
-    bad = sum(not low <= len(compressor.compress(x)) / len(x) <= high for x in chunks) if len(chunks) > 1 else 0
-    share = bad / len(chunks) if len(chunks) > 1 else 0.0
+    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+    bad = sum(len(x) for x in chunks if outside(len(compressor.compress(x)) / len(x), len(x), CHUNK_BANDS))
+    share = bad / len(data) if data else 0.0
     kept = not failed and not outside(ratio, len(data)) and share <= CHUNKS_OUTSIDE
     return (n, len(text or "") - gaps, len(data) - len(data.translate(None, SYMBOLS)), len(with_word) - len(set(with_word)),
             repeated, failed, kept, ratio, share)
