@@ -3,17 +3,20 @@
 A tolerant reader builds a tree. Elements that are never part of an article go: by tag, by role, or by the words of
 class and id. Then every paragraph gives points for its length and its commas to its parent, and half of them to the
 grandparent; an element's points are discounted by its link density. The best container is kept, widened to the
-article or main element around it, with those siblings that score well themselves. Its blocks are the result.
+article or main element around it, with those siblings that score well themselves (several articles of a page as well).
+Its blocks are the result. Lists of links go, but for those between the paragraphs of an article.
 
 Defined cases: null and empty pages give an empty text; unclosed tags, quotes and comments end with the page; pages
-of any length are taken whole; nothing is capped; repeated rows get equal results; an empty table gives an empty
-table; input columns named like an output column are replaced by it.
+of any length and nesting are taken whole, in linear time; nothing is capped; of containers of equal score the first
+is the best; repeated rows get equal results; an empty table gives an empty table; input columns named like an output
+column are replaced by it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -57,6 +60,8 @@ UNLIKELY = frozenset(
 #: These go even if an article element stands inside: readers' comments are often marked up as articles.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond".split())
 HOLDERS = frozenset(("article", "main"))
+BONUS = 25
+LISTS = frozenset(("ul", "ol", "div", "table", "section", "dl"))
 GOOD = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 
 TOKEN = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"?[^>"']*|'[^']*'?[^>"']*)*)>?|[!?][^>]*>?|/[^>]*>?)""")
@@ -68,11 +73,11 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in RAW}
 class Node:
     """An element; ``parts`` holds texts and elements in order."""
 
-    __slots__ = ("gone", "hints", "inside", "links", "parent", "parts", "score", "size", "tag")
+    __slots__ = ("anchors", "gone", "hints", "inside", "links", "parent", "parts", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, hints: str = ""):
         self.tag, self.parent, self.hints, self.parts = tag, parent, hints, []
-        self.size = self.links = 0
+        self.size = self.links = self.anchors = 0
         self.score, self.gone, self.inside = 0.0, False, False
 
 
@@ -99,6 +104,12 @@ def parse(page: str) -> list[Node]:
     root = Node("html", None)
     nodes, stack, at, n = [root], [root], 0, len(page)
     find = TOKEN.search
+    still: Counter[str] = Counter()  # open elements by tag: no search for one that isn't there
+
+    def cut_at(k: int) -> None:
+        still.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = find(page, at)
         if m is None:
@@ -115,9 +126,9 @@ def parse(page: str) -> list[Node]:
             continue
         tag = name.lower()
         if m[1]:  # an end tag closes the nearest open element of its name
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if still[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut_at(k)
                     break
                 if stack[k].tag in SCOPES and tag not in SCOPES and tag not in BLOCK:
                     break
@@ -136,23 +147,23 @@ def parse(page: str) -> list[Node]:
             if m[3]:
                 stack[0].hints += " " + _hidden(m[3])[0]
             if tag == "body":
-                del stack[1:]
+                cut_at(1)
             continue
         if tag in SIBLINGS:
             same, stop = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(still[t] > 0 for t in same) else ():
                 if stack[k].tag in same:
                     cut = k
                     while cut > 1 and stack[cut - 1].tag in same:
                         cut -= 1
-                    del stack[cut:]
+                    cut_at(cut)
                     break
                 if stack[k].tag in stop:
                     break
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and still["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut_at(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
@@ -163,6 +174,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         if tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
             stack.append(node)
+            still[tag] += 1
     return nodes
 
 
@@ -173,18 +185,20 @@ def _names(node: Node) -> list[str]:
 def _measure(nodes: list[Node]) -> None:
     """Text and link sizes of all elements, those that are gone not counted. Children come after parents."""
     for node in nodes:
-        node.size = node.links = 0
+        node.size = node.links = node.anchors = 0
         node.inside = node.tag in HOLDERS
     for node in reversed(nodes):
         if node.gone:
-            node.size = node.links = 0
+            node.size = node.links = node.anchors = 0
             continue
+        node.anchors += node.tag == "a"
         node.size += sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         if node.tag == "a":
             node.links = node.size
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.links += node.links
+            node.parent.anchors += node.anchors
             node.parent.inside |= node.inside
 
 
@@ -217,23 +231,28 @@ def prune(nodes: list[Node]) -> list[Node]:
             headed = any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in x.parts)
             x.gone = not (id(x) in within and headed and "header" in (x.tag, *names))
     _measure(nodes)
+    own = _between_paragraphs(nodes, within)
     for x in nodes[1:]:  # lists of links
         if x.parent.gone:
             x.gone = True
-        elif x.tag in ("ul", "ol", "div", "table", "section", "dl") and x.size and x.links > 0.8 * x.size and sum(1 for c in _anchors(x)) >= 3:
+        elif x.tag in LISTS and x.size and x.links > 0.8 * x.size and x.anchors >= 3 and id(x) not in own:
             x.gone = True
     left = [x for x in nodes if not x.gone]
     _measure(nodes)
     return left
 
 
-def _anchors(node: Node):
-    waiting = [node]
-    while waiting:
-        x = waiting.pop()
-        if x.tag == "a":
-            yield x
-        waiting += [c for c in x.parts if isinstance(c, Node) and not c.gone]
+def _between_paragraphs(nodes: list[Node], within: set[int]) -> set[int]:
+    """Lists in an article that stand between its paragraphs: what they link to is part of the article."""
+    own: set[int] = set()
+    for parent in nodes:
+        if parent.gone or not (parent.tag in HOLDERS or id(parent) in within):
+            continue
+        parts = [c for c in parent.parts if isinstance(c, Node) and not c.gone]
+        plain = [k for k, c in enumerate(parts) if c.tag == "p" and c.size > 2 * c.links]
+        if plain:
+            own.update(id(c) for c in parts[plain[0] : plain[-1]] if c.tag in ("ul", "ol", "dl", "table"))
+    return own
 
 
 def container(nodes: list[Node]) -> list[Node]:
@@ -257,7 +276,7 @@ def container(nodes: list[Node]) -> list[Node]:
     for x in nodes:
         if x.tag in BLOCK or x.tag in ("td", "html", "span"):
             score = x.score * (1 - (x.links / x.size if x.size else 0))
-            score += (25 if x.tag in HOLDERS else 5 if GOOD.search(x.hints) else 0) * (x.size > 0)
+            score += (BONUS if x.tag in HOLDERS else 5 if GOOD.search(x.hints) else 0) * (x.size > 0)
             x.score = score
             if score > most:
                 best, most = x, score
@@ -276,7 +295,8 @@ def container(nodes: list[Node]) -> list[Node]:
         dense = x.links / x.size if x.size else 1.0
         likely = x.score >= max(10.0, 0.3 * most) and x.tag in BLOCK
         paragraph = x.tag in ("p", "blockquote", "pre") and x.size > 80 and dense < 0.25
-        if x is best or best.tag not in HOLDERS and dense < 0.5 and (likely or paragraph or x.tag in ("h1", "h2")):
+        beside = best.tag in HOLDERS and x.tag in HOLDERS and dense < 0.5 and x.score - BONUS >= 0.2 * (best.score - BONUS)
+        if x is best or beside or best.tag not in HOLDERS and dense < 0.5 and (likely or paragraph or x.tag in ("h1", "h2")):
             kept.append(x)
     return kept
 

@@ -10,21 +10,26 @@ few (a product of categories); up to CELLS_TOGETHER of them are raked in one par
 
 Defined cases: null categories form a category of their own; null and empty texts have no tokens and the probability
 of their cell; a target without tokens is left out and the others rescaled; a value without target has share 0 and is
-never sampled; the draw depends on id and seed alone, so repeated rows fall alike; empty tables give empty tables;
-input columns named like an output column are replaced by it.
+never sampled; the draw depends on id and seed alone, so repeated rows fall alike; very long texts count whole, as any
+other row; cells of one rate are held at 1 together; targets that can't be met together give the last round's weights
+and a warning; empty tables give empty tables; input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlog.llm.common import quoted, shared_dir, written
+from foldlog.llm.common import LOWER, UPPER, ascii_lower, quoted, shared_dir, tidy, unused, written
 
 NONE = "(none)"
 ROUNDS, ROUNDS_TOGETHER, TOLERANCE = 40, 5, 1e-10
+#: Gap between a marginal and its target beyond which the last round's weights come with a warning.
+OFF_TARGET = 1e-6
 CELLS_TOGETHER = 20_000
 
 
@@ -33,16 +38,27 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+#: Words that speak for a topic (fixed values; ties go to the topic named first).
+TOPICS = {
+    "law": ("license", "copyright", "contract", "court", "warranty", "regulation"),
+    "computing": ("software", "algorithm", "database", "computer", "server", "internet"),
+    "science": ("experiment", "theory", "molecule", "physics", "species", "planet"),
+    "health": ("patient", "disease", "medicine", "hospital", "therapy", "symptom"),
+    "economy": ("market", "finance", "invest", "company", "inflation", "export"),
+    "society": ("government", "election", "school", "history", "religion", "football"),
+}
+OTHER = "other"
+
+
 def topic(text: Column) -> Column:
-    """A topic from the form of a text; the first rule that holds."""
-    text = F.coalesce(text, F.lit(""))
-    return (
-        F.when(text.contains(" | "), "table")
-        .when(text.contains("!! "), "shouted")
-        .when(text.contains("*** ") | text.contains("&&& "), "symbols")
-        .when(F.lower(text).contains("license"), "licensed")
-        .otherwise("prose")
-    )
+    """The topic of which a text has most words of TOPICS, anywhere within its words; ``other`` without any."""
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    counts = {t: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words]) for t, words in TOPICS.items()}
+    most = F.greatest(*counts.values())
+    out = F.lit(OTHER)
+    for t in reversed(TOPICS):
+        out = F.when(counts[t] == most, F.lit(t)).otherwise(out)
+    return F.when(most == 0, F.lit(OTHER)).otherwise(out)
 
 
 def cells_of(docs: DataFrame, marginals: Sequence[str], tokens_col: str) -> DataFrame:
@@ -98,7 +114,9 @@ def rake(cells: DataFrame, marginals: Sequence[str], rounds: int = ROUNDS, toler
         off = most.agg(F.max("gap")).first()[0]
         now = now.coalesce(1) if now.count() <= CELLS_TOGETHER else now
         if off is None or off < tolerance:
-            break
+            return now
+    if off > OFF_TARGET:
+        warnings.warn(f"after {rounds} rounds a marginal is off its target by {off:.3g}", stacklevel=2)
     return now
 
 
@@ -116,15 +134,17 @@ def calibrated(raked: DataFrame, budget: float) -> DataFrame:
     tried = tried.withColumn("factor", F.greatest(F.lit(0.0), (F.col("wanted") - F.col("held")) / F.col("rest")))
     factor = tried.where("factor * rate <= 1").agg(F.max_by("factor", "rate").alias("factor"))
     p = F.when(F.col("rate") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("rate") * F.col("factor"), F.lit(1.0))))
-    return rated.join(F.broadcast(factor)).withColumn("probability", F.round(p, 6))
+    # Nine significant digits: the same in every engine, and no probability becomes 0.
+    return rated.join(F.broadcast(factor)).withColumn("probability", F.format_string("%.8e", p).cast("double"))
 
 
 def drawn(id_column: Column, seed: str) -> Column:
     """A number in [0, 1) from id and seed."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+@tidy
 def mix(
     docs: DataFrame,
     targets: Mapping[str, float | Mapping[str, float]],
@@ -140,13 +160,14 @@ def mix(
     """
     marginals = list(targets)
     raked = rake(with_targets(cells_of(docs, marginals, tokens_col), targets), marginals)
-    cells = calibrated(raked, budget).select(*[F.col(m).alias(f"__cell_{m}") for m in marginals], F.col("probability").alias("__p"))
+    *names, p = unused(docs, *[f"cell_{m}" for m in marginals], "cell_probability")
+    cells = calibrated(raked, budget).select(*[quoted(m).alias(n) for m, n in zip(marginals, names, strict=True)], F.col("probability").alias(p))
     cells = written(docs.sparkSession, cells, "probabilities")
-    on = [F.coalesce(quoted(m).cast("string"), F.lit(NONE)) == F.col(f"__cell_{m}") for m in marginals]
+    on = [F.coalesce(quoted(m).cast("string"), F.lit(NONE)) == quoted(n) for m, n in zip(marginals, names, strict=True)]
     few = cells.count() <= CELLS_TOGETHER
     joined = docs.join(F.broadcast(cells) if few else cells, on)
     keep = [quoted(c) for c in docs.columns if c not in ("probability", "sampled")]
-    return joined.select(*keep, F.col("__p").alias("probability"), (drawn(quoted(id_col), seed) < F.col("__p")).alias("sampled"))
+    return joined.select(*keep, quoted(p).alias("probability"), (drawn(quoted(id_col), seed) < quoted(p)).alias("sampled"))
 
 
 #: What the query and the pipeline mix by.
@@ -162,12 +183,14 @@ def mix_documents(documents: DataFrame) -> DataFrame:
 
 def mixing_sql(rounds: int = ROUNDS) -> str:
     """The same in DuckDB's SQL, with every round written out."""
+    lowered = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    counts = {t: "(" + " + ".join(f"contains({lowered}, '{w}')::INT" for w in words) + ")" for t, words in TOPICS.items()}
+    most = f"greatest({', '.join(counts.values())})"
+    topic_sql = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + " ".join(f"WHEN {n} = {most} THEN '{t}'" for t, n in counts.items()) + " END"
     parts = [
         r"""docs AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
-  CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!! ') THEN 'shouted'
-    WHEN contains(coalesce(text, ''), '*** ') OR contains(coalesce(text, ''), '&&& ') THEN 'symbols'
-    WHEN contains(lower(coalesce(text, '')), 'license') THEN 'licensed' ELSE 'prose' END AS topic,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents)""",
+  {topic} AS topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents)""".replace("{topic}", topic_sql),
         "r0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS t, sum(tokens)::DOUBLE AS w FROM docs GROUP BY ALL)",
     ]
     for m, power in TARGETS.items():
@@ -182,9 +205,9 @@ def mixing_sql(rounds: int = ROUNDS) -> str:
         f"rated AS (SELECT *, CASE WHEN t > 0 THEN w / t ELSE 0 END AS rate FROM r{n})",
         f"tried AS (SELECT rate, (SELECT sum(t) * {BUDGET} FROM rated) AS wanted, coalesce(sum(t) OVER (ORDER BY rate DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY rate DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM rated WHERE rate > 0)",
         "factor AS (SELECT arg_max(greatest(0, (wanted - held) / rest), rate) AS f FROM tried WHERE greatest(0, (wanted - held) / rest) * rate <= 1)",
-        "p AS (SELECT source, lang, topic, round(CASE WHEN rate = 0 THEN 0 ELSE least(1, coalesce(rate * f, 1)) END, 6) AS probability FROM rated, factor)",
+        "p AS (SELECT source, lang, topic, format('{:.8e}', (CASE WHEN rate = 0 THEN 0 ELSE least(1, coalesce(rate * f, 1)) END)::DOUBLE)::DOUBLE AS probability FROM rated, factor)",
     ]
     return "WITH " + ",\n".join(parts) + """
 SELECT doc_id, source, lang, topic, tokens, probability,
-  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS sampled
 FROM docs JOIN p USING (source, lang, topic)"""
