@@ -31,11 +31,14 @@ def internal(events: DataFrame) -> DataFrame:
     return events.groupBy("seg", "key").agg(F.max_by(F.struct(*names), "seq").alias("e")).select("seg", "key", "e.*").select(*events.columns)
 
 
-def against(events: DataFrame, seg: int, cutoff_ms: int) -> DataFrame:
+def against(events: DataFrame, seg: int, cutoff_ms: int, manifest: DataFrame | None = None) -> DataFrame:
     """Segments before ``seg`` without the keys that ``seg`` has, and without deletes older than the cutoff.
 
-    Every earlier segment and ``seg`` must be compacted within itself first; see :func:`check_internal`.
+    ``seg`` must be compacted within itself: with a manifest this is checked (:func:`check_internal`), without one its
+    rows are taken as they are.
     """
+    if manifest is not None:
+        check_internal(manifest, seg)
     keys = events.where(F.col("seg") == seg).select("key").distinct()
     earlier = events.where(F.col("seg") < seg).join(keys, "key", "left_anti").select(*events.columns)
     return earlier.where(~((F.col("op") == "DELETE") & (F.col("ts_ms") < cutoff_ms)))

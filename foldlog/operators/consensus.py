@@ -23,16 +23,50 @@ def majority_of(members: DataFrame) -> DataFrame:
 
 
 def quorum(votes: DataFrame, members: DataFrame) -> DataFrame:
-    """Slots with enough distinct known acceptors: ``slot`` and ``acceptors``."""
+    """Ballots that enough distinct known acceptors voted for: ``slot``, ``ballot`` and ``acceptors``."""
     known = votes.join(F.broadcast(members.select("acceptor")), "acceptor", "left_semi")
-    counted = known.select("slot", "acceptor").distinct().groupBy("slot").agg(F.count(F.lit(1)).alias("acceptors"))
+    counted = known.select("slot", "ballot", "acceptor").distinct().groupBy("slot", "ballot").agg(F.count(F.lit(1)).alias("acceptors"))
     return counted.join(F.broadcast(majority_of(members)), F.col("acceptors") >= F.col("majority")).drop("majority")
 
 
-def preempted(votes: DataFrame) -> DataFrame:
-    """Slots in which a ballot higher than the first voted one appeared."""
-    seen = votes.groupBy("slot").agg(F.min("ballot").alias("lowest"), F.max("ballot").alias("highest"))
-    return seen.where(F.col("lowest") != F.col("highest")).select("slot")
+def outcomes(own: DataFrame, votes: DataFrame, members: DataFrame) -> DataFrame:
+    """What became of own proposals (slot, ballot) by votes in the order of their ``arrival``.
+
+    ``decided``: enough distinct known acceptors voted for the ballot before a vote for another, higher one came;
+    ``preempted``: the other vote came first; ``open``: neither. What comes after the quorum changes nothing.
+    """
+    mine = own.select("slot", F.col("ballot").alias("own"))
+    seen = votes.join(mine, "slot")
+    known = seen.where(F.col("ballot") == F.col("own")).join(F.broadcast(members.select("acceptor")), "acceptor", "left_semi")
+    first = known.groupBy("slot", "acceptor").agg(F.min("arrival").alias("arrival"))
+    # As many arrivals a slot as there are members, at most.
+    arrivals = first.groupBy("slot").agg(F.array_sort(F.collect_list("arrival")).alias("arrivals")).join(F.broadcast(majority_of(members)))
+    decided = arrivals.select("slot", F.get("arrivals", (F.col("majority") - 1).cast("int")).alias("decided"))
+    other = seen.where(F.col("ballot") > F.col("own")).groupBy("slot").agg(F.min("arrival").alias("other"))
+    both = mine.join(decided, "slot", "left").join(other, "slot", "left")
+    outcome = F.when(F.col("other").isNotNull() & (F.col("decided").isNull() | (F.col("other") < F.col("decided"))), "preempted").when(F.col("decided").isNotNull(), "decided").otherwise("open")
+    return both.select("slot", F.col("own").alias("ballot"), outcome.alias("outcome"))
+
+
+def preempted(own: DataFrame, votes: DataFrame, members: DataFrame) -> DataFrame:
+    """Slots whose own proposal met a higher ballot before its quorum."""
+    return outcomes(own, votes, members).where("outcome = 'preempted'").select("slot")
+
+
+def reaped(accepted: DataFrame, now_ms: int, retention_ms: int) -> tuple[DataFrame, int]:
+    """What an acceptor keeps after reaping, and its lowest acceptable slot: all from the first slot on whose time is
+    within the retention stays, whatever the times after it."""
+    first = accepted.where(F.col("ts_ms") >= now_ms - retention_ms).agg(F.min("slot")).first()[0]
+    highest = accepted.agg(F.max("slot")).first()[0]
+    low = first if first is not None else (highest or 0) + 1
+    return accepted.where(F.col("slot") >= low), low
+
+
+def reproposed(own: DataFrame, decided: DataFrame, used: DataFrame, start: int) -> DataFrame:
+    """Own proposals that lost their slot, each with the next free slot in order: ``slot``, ``command``, ``from_slot``."""
+    lost = ordered.row_numbers(clobbered(own, decided).select("slot", "command"), "rn", "slot")
+    last = used.select("slot").union(own.select("slot")).union(decided.select("slot")).agg(F.greatest(F.max("slot"), F.lit(start - 1)).alias("last"))
+    return lost.join(F.broadcast(last)).select((F.coalesce("last", F.lit(start - 1)) + F.col("rn")).alias("slot"), "command", F.col("slot").alias("from_slot"))
 
 
 def overlay(x: DataFrame, y: DataFrame, key: str, value: str) -> DataFrame:

@@ -16,7 +16,7 @@ def scan(log: DataFrame) -> DataFrame:
 
 
 def seq_range(log: DataFrame, start: int, end: int) -> DataFrame:
-    """Events with start <= seq <= end; the bounds reach the Parquet reader."""
+    """Events with start <= seq <= end; the bounds reach the Parquet reader if ``seq`` is a column of the files."""
     return log.where(F.col("seq").between(start, end))
 
 
@@ -33,9 +33,12 @@ def bounds(log: DataFrame) -> DataFrame:
 
 
 def tail(log: DataFrame, k: int) -> DataFrame:
-    """The last k sequence numbers before the largest, and the largest: k + 1 events if none is missing."""
-    last = log.agg(F.max("seq").alias("__last"))
-    return log.join(F.broadcast(last), F.col("seq").between(F.col("__last") - k, F.col("__last"))).drop("__last")
+    """The last k sequence numbers before the largest, and the largest: k + 1 events if none is missing.
+
+    The largest is read first, so that the range can be pushed to the reader.
+    """
+    last = log.agg(F.max("seq")).first()[0]
+    return log.limit(0) if last is None else seq_range(log, last - k, last)
 
 
 def tail_count(log: DataFrame, k: int) -> DataFrame:
@@ -53,28 +56,35 @@ def range_while(log: DataFrame, start: int, end: int, cost: Column, budget: floa
     return ordered.running_sum(part, cost, "__before", inclusive=False).where(F.col("__before") < budget).drop("__before")
 
 
-def fold(log: DataFrame, zero, step: Callable, more: Callable | None = None, schema: str = "result string") -> DataFrame:
-    """Any fold in sequence order, ended before an event for whose accumulator ``more`` fails.
+def fold(log: DataFrame, zero, step: Callable, more: Callable | None = None, schema: str = "result string", by: str = "key") -> DataFrame:
+    """Any fold of the events of each key in sequence order, ended before an event for whose accumulator ``more`` fails.
 
-    An arbitrary fold has no partial form: the rows stream through one task in order, without being held. Prefer the
-    aggregates of this package wherever they say the same.
+    An arbitrary fold has no partial form: the rows of a key stream through one task in order, without being held. Prefer
+    the aggregates of this package wherever they say the same.
     """
     names = log.columns
+    at, result = names.index(by), schema.split()[0]
+    kind = dict(log.dtypes)[by]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        acc, on = zero, True
+        key, acc, on, begun = None, zero, True, False
         for batch in batches:
-            if on:
-                for row in batch.itertuples(index=False):
-                    if more is not None and not more(acc):
-                        on = False
-                        break
+            done = []
+            for row in batch.itertuples(index=False):
+                if not begun or row[at] != key:
+                    if begun:
+                        done.append((key, acc))
+                    key, acc, on, begun = row[at], zero, True, True
+                if on and more is not None and not more(acc):
+                    on = False
+                if on:
                     acc = step(acc, dict(zip(names, row, strict=True)))
-        yield pd.DataFrame([[acc]], columns=[schema.split()[0]])
+            yield pd.DataFrame(done, columns=[by, result])
+        yield pd.DataFrame([(key, acc)] if begun else [], columns=[by, result])
 
-    return log.repartition(1).sortWithinPartitions("seq").mapInPandas(run, schema)
+    return log.repartition(by).sortWithinPartitions(by, "seq").mapInPandas(run, f"`{by}` {kind}, {schema}")
 
 
 def offset_range(index: DataFrame, start: int, end: int) -> DataFrame:
@@ -89,6 +99,13 @@ def record_offsets(log: DataFrame) -> DataFrame:
     return ordered.running_sum(log.select("seq", "op", "key", "body"), size, "offset", inclusive=False).select("seq", F.col("offset").cast("long").alias("offset"))
 
 
+def subrange_events(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """The events that answer each request (start, end, limit; null: none): start, end, limit and the event."""
+    status = subrange_status(log, requests).where("n_events > 0").select("start", "end", "limit", "range_start", "range_end")
+    inside = F.col("seq").between(F.col("range_start"), F.col("range_end"))
+    return log.join(F.broadcast(status), inside).select("start", "end", "limit", *log.columns)
+
+
 def subrange_status(log: DataFrame, requests: DataFrame) -> DataFrame:
     """How the log answers requests (start, end, limit; null: none): status, range and number of events.
 
@@ -100,7 +117,7 @@ def subrange_status(log: DataFrame, requests: DataFrame) -> DataFrame:
     none = (F.coalesce("limit", F.lit(1)) <= 0) | (F.col("end") < F.col("start")) | (F.col("end") <= 0) | (F.col("start") > F.col("last"))
     asked = asked.withColumns({"none": none, "whole": F.col("limit").isNull() | (F.col("limit") > F.col("e") - F.col("start"))})
     asked = asked.withColumn("ask", F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("start", "end", "limit")]))
-    # Requests are few: each sees how many events lie in it, and where its limit falls among their positions.
+    # Requests are few (they are broadcast): each sees how many events lie in it, and where its limit falls among them.
     inside = ordered.row_numbers(log.select("seq")).join(F.broadcast(asked.select("ask", "start", "e", "limit")), F.col("seq").between(F.col("start"), F.col("e")))
     counts = inside.groupBy("ask").agg(F.count(F.lit(1)).alias("found"), F.min("rn").alias("first"))
     within = inside.join(F.broadcast(counts.select("ask", "first")), "ask").where(F.col("rn") < F.col("first") + F.col("limit"))

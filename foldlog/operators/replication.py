@@ -54,9 +54,9 @@ def catch_up(outcomes: DataFrame, partition: str = "node", order: str = "step",
     return listed.select(partition, catch_up_fold(F.transform("o", lambda x: x["outcome"]), **options).alias("s")).select(partition, "s.*")
 
 
-def catch_up_timeout_ms(window: Column, base_s: float = 1.0, a_event_s: float = 0.01) -> Column:
+def catch_up_timeout_ms(window: Column, base_ms: int = 1000, event_ms: int = 10) -> Column:
     """How long to wait for an answer of so many events."""
-    return (1000 * (base_s + window * a_event_s)).cast("long")
+    return (base_ms + window * event_ms).cast("long")
 
 
 def lag_of_replicas(replicas: DataFrame) -> DataFrame:

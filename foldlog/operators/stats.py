@@ -18,15 +18,17 @@ def replay_report(results: DataFrame, status: str = "status", ok="200") -> DataF
 def weighted_average(df: DataFrame, value: str, order: str = "seq") -> DataFrame:
     """The running average in which the i-th value weighs i, exact: ``numerator`` over ``denominator``."""
     rows = ordered.row_numbers(df.select(order, value), "n", order)
-    summed = ordered.running_sum(rows, F.col("n") * F.col(value), "numerator", order=order)
-    return summed.select(order, F.col("numerator").cast("long").alias("numerator"), (F.col("n") * (F.col("n") + 1) / 2).cast("long").alias("denominator"))
+    weighed = F.col("n").cast("decimal(19,0)") * F.col(value).cast("decimal(18,0)")
+    summed = ordered.running_sum(rows, weighed, "numerator", order=order)
+    n = F.col("n").cast("decimal(19,0)")
+    return summed.select(order, F.col("numerator").cast("decimal(38,0)").alias("numerator"), F.call_function("div", n * (n + 1), F.lit(2)).cast("long").alias("denominator"))
 
 
 def truncated_average(values: Column) -> Column:
     """The same over an ordered array of integers, cut to an integer after every step."""
     step = lambda acc, x: F.struct(
         (acc["n"] + 1).cast("long").alias("n"),
-        F.floor((acc["average"] * acc["n"] * (acc["n"] + 1) / 2 + x * (acc["n"] + 1)) / ((acc["n"] + 1) * (acc["n"] + 2) / 2)).cast("long").alias("average"),
+        F.call_function("div", acc["average"] * acc["n"] + 2 * x, acc["n"] + 2).cast("long").alias("average"),
     )
     return F.aggregate(values, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("average")), step, lambda acc: acc["average"])
 

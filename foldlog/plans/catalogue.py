@@ -22,6 +22,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 LOG = """log AS (SELECT event_id + 1 AS seq, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op,
   user_id::VARCHAR AS key, props AS body, value, event_type FROM events)"""
+PLAIN = LOG.replace("event_id + 1 AS seq", "event_id AS seq")
+VOTES = "v AS (SELECT user_id % 5 AS acceptor, event_id // 16 AS slot, user_id // 5 % 2 AS ballot, event_id AS arrival FROM events)"
 OLOG = """olog AS (SELECT o_orderkey + 1 AS seq, epoch_us(o_orderdate) // 1000 AS ts_ms, CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS op,
   o_custkey::VARCHAR AS key, o_orderpriority AS body FROM orders)"""
 PV = """pv AS (SELECT user_id % 5 AS acceptor, event_id // 4 AS slot, user_id % 8 AS bseq, event_type AS leader, event_id AS vote,
@@ -69,19 +71,19 @@ def log_scan(spark, sf_dir):
     return scans.scan(_log(spark, sf_dir)).select(*COLUMNS)
 
 
-@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq BETWEEN 200 AND 300")
+@query(f"WITH {PLAIN} SELECT {EVENT} FROM log WHERE seq BETWEEN 200 AND 300")
 def log_range(spark, sf_dir):
-    return scans.seq_range(_log(spark, sf_dir), 200, 300).select(*COLUMNS)
+    return scans.seq_range(schema.event_log(spark, sf_dir, 0), 200, 300).select(*COLUMNS)
 
 
-@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq = 77")
+@query(f"WITH {PLAIN} SELECT {EVENT} FROM log WHERE seq = 77")
 def log_point(spark, sf_dir):
-    return scans.point(_log(spark, sf_dir), 77).select(*COLUMNS)
+    return scans.point(schema.event_log(spark, sf_dir, 0), 77).select(*COLUMNS)
 
 
-@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq BETWEEN (SELECT max(seq) - 20 FROM log) AND (SELECT max(seq) FROM log)")
+@query(f"WITH {PLAIN} SELECT {EVENT} FROM log WHERE seq BETWEEN (SELECT max(seq) - 20 FROM log) AND (SELECT max(seq) FROM log)")
 def log_tail_20(spark, sf_dir):
-    return scans.tail(_log(spark, sf_dir), 20).select(*COLUMNS)
+    return scans.tail(schema.event_log(spark, sf_dir, 0), 20).select(*COLUMNS)
 
 
 @query(f"WITH {LOG} SELECT {EVENT} FROM log ORDER BY seq DESC LIMIT 20")
@@ -89,15 +91,15 @@ def log_tail_count(spark, sf_dir):
     return scans.tail_count(_log(spark, sf_dir), 20).select(*COLUMNS)
 
 
-@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq % 7 <> 1 AND seq BETWEEN 100 AND 900 ORDER BY seq LIMIT 50")
+@query(f"WITH {PLAIN} SELECT {EVENT} FROM log WHERE seq % 7 <> 1 AND seq BETWEEN 100 AND 900 ORDER BY seq LIMIT 50")
 def log_first_n_of_range(spark, sf_dir):
-    return scans.first_of_range(schema.replica(_log(spark, sf_dir), 1), 100, 900, 50).select(*COLUMNS)
+    return scans.first_of_range(schema.replica(schema.event_log(spark, sf_dir, 0), 1), 100, 900, 50).select(*COLUMNS)
 
 
-@query(f"""WITH {LOG}, c AS (SELECT *, coalesce(sum(length(body)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM log WHERE seq BETWEEN 10 AND 1000000000)
+@query(f"""WITH {PLAIN}, c AS (SELECT *, coalesce(sum(length(body)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM log WHERE seq BETWEEN 10 AND 1000000000)
 SELECT {EVENT} FROM c WHERE before < 5000""")
 def log_take_while_budget(spark, sf_dir):
-    return scans.range_while(_log(spark, sf_dir), 10, 1_000_000_000, F.length("body"), 5000).select(*COLUMNS)
+    return scans.range_while(schema.event_log(spark, sf_dir, 0), 10, 1_000_000_000, F.length("body"), 5000).select(*COLUMNS)
 
 
 @query(f"WITH {LOG} SELECT min(seq) AS min_seq, max(seq) AS max_seq, coalesce(max(seq), 0) + 1 AS next_seq, count(*)::BIGINT AS n FROM log")
@@ -138,15 +140,22 @@ def log_subranges(spark, sf_dir):
     return scans.subrange_status(schema.replica(_log(spark, sf_dir), 1), asked)
 
 
+@query(f"""WITH {LOG}, rep AS (SELECT * FROM log WHERE seq % 7 <> 1), asked(s, e0, lim) AS (VALUES (1::BIGINT, 20::BIGINT, NULL::BIGINT), (1, 20, 5), (50, 60, 10), (995, 100000000, 5)),
+r AS (SELECT s, e0, lim, rep.*, row_number() OVER (PARTITION BY s, e0, lim ORDER BY seq) AS i FROM asked JOIN rep ON seq BETWEEN s AND e0)
+SELECT s AS "start", e0 AS "end", lim AS "limit", seq, op, key FROM r WHERE lim IS NULL OR i <= lim""")
+def log_subrange_events(spark, sf_dir):
+    asked = spark.createDataFrame([(1, 20, None), (1, 20, 5), (50, 60, 10), (995, 100_000_000, 5)], "start long, end long, limit long")
+    return scans.subrange_events(schema.replica(_log(spark, sf_dir), 1), asked).select("start", "end", "limit", "seq", "op", "key")
+
+
 @query(f"WITH {LOG} SELECT {EVENT} FROM log ORDER BY seq DESC LIMIT 1000")
 def tail_cache(spark, sf_dir):
     return scans.tail_count(_log(spark, sf_dir), 1000).select(*COLUMNS)
 
 
-@query(f"WITH {LOG} SELECT (sum(CASE WHEN op = 'PUT' THEN 1 ELSE -1 END) * 1000 + count(*))::BIGINT AS result FROM log WHERE seq <= 500")
+@query(f"WITH {LOG} SELECT key, (sum(CASE WHEN op = 'PUT' THEN 1 ELSE -1 END) * 1000 + count(*))::BIGINT AS result FROM log GROUP BY key")
 def log_fold(spark, sf_dir):
-    part = scans.seq_range(_log(spark, sf_dir), 1, 500).select("seq", "op")
-    return scans.fold(part, 0, lambda acc, e: acc + (1001 if e["op"] == "PUT" else -999), schema="result long")
+    return scans.fold(_log(spark, sf_dir).select("seq", "op", "key"), 0, lambda acc, e: acc + (1001 if e["op"] == "PUT" else -999), schema="result long")
 
 
 # ---- filters
@@ -345,19 +354,20 @@ def merge_two_segments(spark, sf_dir):
     return segments.union(laid.where("seg = 1"), laid.where("seg = 2"), 1)
 
 
-@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq <= 600 AND seq < (SELECT max(seq) + 1 FROM log WHERE seq <= 500)")
+@query(f"WITH {LOG} SELECT {EVENT} FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)")
 def refused_appends(spark, sf_dir):
     log = _log(spark, sf_dir).select(*COLUMNS)
-    return segments.check_append(log.where("seq <= 500"), log.where("seq <= 600"))
-
+    half = (scans.bounds(log).first()["max_seq"] or 0) // 2
+    return segments.check_append(log.where(F.col("seq") <= half), log)
 
-_NAMES = [("1", ""), ("1", "compacting"), ("2", "temp"), ("2", "compacting"), ("3", ""), ("3", "temp"), ("4", ""), ("5", ""), ("5", "temp"), ("5", "compacting")]
 
-
-@query("""SELECT * FROM (VALUES ('1', 'drop compacting'), ('2', 'promote compacting'), ('3', 'drop temp'), ('4', 'none'), ('5', 'drop compacting')) t(base, action)""")
+@query("""WITH n AS (SELECT event_id // 5 AS base, bool_or(event_id % 7 = 0) AS plain, bool_or(event_id % 7 = 1) AS temp, bool_or(event_id % 7 = 2) AS compacting FROM events WHERE event_id % 7 < 3 GROUP BY 1)
+SELECT base::VARCHAR AS base, CASE WHEN plain AND compacting THEN 'drop compacting' WHEN temp AND compacting THEN 'promote compacting' WHEN plain AND temp THEN 'drop temp' ELSE 'none' END AS action FROM n""")
 def repair_plan(spark, sf_dir):
-    names = spark.createDataFrame([(f"{a}.{b}" if b else a,) for a, b in _NAMES], "name string")
-    return segments.repair_plan(names)
+    e = schema.table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 7
+    suffix = F.when(kind == 0, "").when(kind == 1, ".temp").when(kind == 2, ".compacting")
+    return segments.repair_plan(e.select(F.concat(F.expr("event_id div 5").cast("string"), suffix).alias("name")).where(F.col("name").isNotNull()))
 
 
 @query(f"WITH {_OFFSETS} SELECT seq, \"offset\" FROM offs WHERE seq > (SELECT max(seq) FROM offs WHERE seq <= 900)".replace("length(encode", "octet_length(encode"))
@@ -416,14 +426,35 @@ def pmax_per_slot(spark, sf_dir):
     return consensus.highest_ballots(schema.proposals(spark, sf_dir)).select("slot", "command", F.col("ballot.seq").alias("ballot_seq"), F.col("ballot.vote").alias("vote"))
 
 
-@query(f"WITH {PV} SELECT slot, count(DISTINCT acceptor)::BIGINT AS acceptors FROM pv WHERE acceptor < 4 GROUP BY slot HAVING count(DISTINCT acceptor) >= 3")
+@query(f"WITH {VOTES} SELECT slot, ballot, count(DISTINCT acceptor)::BIGINT AS acceptors FROM v WHERE acceptor < 4 GROUP BY slot, ballot HAVING count(DISTINCT acceptor) >= 3")
 def quorum_slots(spark, sf_dir):
-    return consensus.quorum(schema.proposals(spark, sf_dir), spark.range(4).toDF("acceptor"))
+    return consensus.quorum(schema.votes(spark, sf_dir), spark.range(4).toDF("acceptor"))
+
+
+_OUTCOMES_SQL = f"""WITH {VOTES}, s AS (SELECT DISTINCT slot FROM v), f AS (SELECT slot, acceptor, min(arrival) AS a FROM v WHERE ballot = 0 AND acceptor < 4 GROUP BY 1, 2),
+q AS (SELECT slot, a AS third FROM f QUALIFY row_number() OVER (PARTITION BY slot ORDER BY a) = 3), p AS (SELECT slot, min(arrival) AS other FROM v WHERE ballot > 0 GROUP BY 1),
+o AS (SELECT slot, CASE WHEN other < coalesce(third, other + 1) THEN 'preempted' WHEN third IS NOT NULL THEN 'decided' ELSE 'open' END AS outcome FROM s LEFT JOIN q USING (slot) LEFT JOIN p USING (slot))"""
+
+
+def _first_ballots(spark, sf_dir):
+    cast = schema.votes(spark, sf_dir)
+    return cast.select("slot", F.lit(0).cast("long").alias("ballot")).distinct(), cast, spark.range(4).toDF("acceptor")
 
 
-@query(f"WITH {PV} SELECT slot FROM pv GROUP BY slot HAVING min(ballot) <> max(ballot)")
+@query(f"{_OUTCOMES_SQL} SELECT slot, outcome FROM o")
+def proposal_outcomes(spark, sf_dir):
+    return consensus.outcomes(*_first_ballots(spark, sf_dir)).select("slot", "outcome")
+
+
+@query(f"{_OUTCOMES_SQL} SELECT slot FROM o WHERE outcome = 'preempted'")
 def preempted_slots(spark, sf_dir):
-    return consensus.preempted(schema.proposals(spark, sf_dir))
+    return consensus.preempted(*_first_ballots(spark, sf_dir))
+
+
+@query(f"WITH {PV}, w AS (SELECT min(slot) AS low FROM pv WHERE ts_ms >= {CUT.format('pv')}) SELECT slot, vote, command FROM pv, w WHERE slot >= low")
+def reaped_accepts(spark, sf_dir):
+    pv = schema.proposals(spark, sf_dir)
+    return consensus.reaped(pv, _middle(pv) + 10_000, 10_000)[0].select("slot", "ballot.vote", "command")
 
 
 _OWN = "own AS (SELECT slot, arg_max(command, ballot) AS command FROM pv WHERE acceptor = 1 GROUP BY slot), dec AS (SELECT slot, arg_max(command, ballot) AS command FROM pv WHERE acceptor <> 1 GROUP BY slot)"
@@ -445,6 +476,13 @@ def clobbered_proposals(spark, sf_dir):
     return consensus.clobbered(*_own(spark, sf_dir))
 
 
+@query(f"""WITH {PV}, {_OWN}, l AS (SELECT o.slot, o.command, row_number() OVER (ORDER BY o.slot) AS rn FROM own o JOIN dec d ON o.slot = d.slot WHERE o.command <> d.command)
+SELECT (SELECT max(slot) FROM pv) + rn AS slot, command, slot AS from_slot FROM l""")
+def reproposed_slots(spark, sf_dir):
+    own, decided = _own(spark, sf_dir)
+    return consensus.reproposed(own, decided, schema.proposals(spark, sf_dir), 1)
+
+
 @query(f"""WITH {PV}, {_OWN}, u AS (SELECT slot FROM own UNION SELECT slot FROM dec WHERE slot % 13 <> 5)
 SELECT min(s) AS slot FROM (SELECT 3 AS s UNION ALL SELECT slot + 1 FROM u WHERE slot >= 3) WHERE s NOT IN (SELECT slot FROM u)""")
 def next_free_slot(spark, sf_dir):
@@ -520,7 +558,7 @@ def status_report(spark, sf_dir):
 @query(f"WITH {LOG}, n AS (SELECT seq, length(body) AS x, row_number() OVER (ORDER BY seq) AS i FROM log) SELECT seq, (sum(i * x) OVER (ORDER BY seq))::BIGINT AS numerator, (i * (i + 1) // 2)::BIGINT AS denominator FROM n")
 def weighted_avg_write(spark, sf_dir):
     rows = _log(spark, sf_dir).select("seq", F.length("body").cast("long").alias("x"))
-    return stats.weighted_average(rows, "x")
+    return stats.weighted_average(rows, "x").withColumn("numerator", F.col("numerator").cast("long"))
 
 
 @query(f"""WITH RECURSIVE {LOG}, v AS (SELECT key, length(body)::BIGINT AS x, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM log),
@@ -600,19 +638,20 @@ def wrapped_results(spark, sf_dir):
 @query("SELECT event_id AS id, (1000 + 10 * (event_id % 1000))::BIGINT AS timeout_ms FROM events")
 def catch_up_timeouts(spark, sf_dir):
     window = F.col("event_id") % 1000
-    return schema.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.round(1000 * (1.0 + window * 0.01)).cast("long").alias("timeout_ms"))
+    return schema.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), replication.catch_up_timeout_ms(window).alias("timeout_ms"))
 
 
 # ---- streams
 
-@query("SELECT 'log' AS log, event_id + 1 AS position, event_id + 1 AS seq FROM events WHERE event_id + 1 < 997")
+@query("SELECT (event_id // 1000)::VARCHAR AS log, event_id % 1000 + 1 AS position, event_id % 1000 + 1 AS seq FROM events")
 def ordered_delivery_stream(spark, sf_dir):
     bridge.use_state_store(spark)
     events = schema.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
-    seq = F.col("event_id") + 1
-    rows = stream.where(seq % 997 != 0).select(
-        F.lit("log").alias("log"), F.xxhash64("event_id").alias("arrival"), F.lit("event").alias("kind"), seq.alias("seq"),
+    # Many logs of 1000 events each, which arrive in no order.
+    seq = F.col("event_id") % 1000 + 1
+    rows = stream.select(
+        F.expr("event_id div 1000").cast("string").alias("log"), F.xxhash64("event_id").alias("arrival"), F.lit("event").alias("kind"), seq.alias("seq"),
         F.lit("PUT").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("body"),
     )
     out, marks = shared.fresh_path(spark, "delivered"), shared.fresh_path(spark, "delivered-marks")

@@ -42,11 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table events as a log: errors delete their user's key."""
+def event_log(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
+    """The table events as a log: errors delete their user's key. With ``first`` 0 seq is the files' own column."""
     e = table(spark, sf_dir, "events")
+    seq = F.col("event_id") + first if first else F.col("event_id")
     return e.select(
-        (F.col("event_id") + 1).alias("seq"), epoch_ms(F.col("ts")).alias("ts_ms"),
+        seq.alias("seq"), epoch_ms(F.col("ts")).alias("ts_ms"),
         F.when(F.col("event_type") == "error", DELETE).otherwise(PUT).alias("op"),
         F.col("user_id").cast("string").alias("key"), F.col("props").alias("body"), "value",
     )
@@ -67,6 +68,12 @@ def replica(log: DataFrame, r: int) -> DataFrame:
     return log.where(F.col("seq") % 7 != r)
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded votes in the order of their arrival: acceptor, slot, ballot (which acceptors share) and arrival."""
+    e = table(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 5).alias("acceptor"), F.expr("event_id div 16").alias("slot"), F.expr("user_id div 5 % 2").alias("ballot"), F.col("event_id").alias("arrival"))
+
+
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded votes for proposals: acceptor, slot, ballot (ordered field by field) and command."""
     e = table(spark, sf_dir, "events")

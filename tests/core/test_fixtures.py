@@ -97,7 +97,9 @@ def test_ranges(spark):
     assert seqs(log.range_while(dense, 1, 100, one, 5)) == [1, 2, 3, 4, 5]
     assert seqs(log.range_while(dense, 9, 100, one, 2)) == [9, 10]
     assert seqs(log.tail(dense, 3)) == [8, 9, 10, 11] and seqs(log.tail_count(dense, 3)) == [9, 10, 11]
-    assert log.fold(dense, 0, lambda a, e: a + e["seq"], lambda a: a < 10, "result long").first()["result"] == 10
+    one_key = dense.withColumn("key", F.lit("k"))
+    assert log.fold(one_key, 0, lambda a, e: a + e["seq"], lambda a: a < 10, "result long").first()["result"] == 10
+    assert {r["key"]: r["result"] for r in log.fold(dense, 0, lambda a, e: a + e["seq"], schema="result long").collect()} == {str(i): i for i in range(1, 12)}
     index = spark.createDataFrame([(1, 0), (3, 1), (5, 2)], "seq long, offset long")
     far = 1 << 60
     asked = {(1, 5): (0, 2), (2, 4): (1, 1), (2, far): (1, 2), (-far, 4): (0, 1), (2, 2): (0, -1), (6, far): (0, -1), (far, -far): (0, -1)}
@@ -178,6 +180,37 @@ def test_consensus(spark):
     assert sorted((r["slot"], r["command"], r["ts_ms"]) for r in consensus.accept(old, new).collect()) == [(1, "x", 9), (2, "r", 9), (3, "s", 9)]
 
 
+def test_quorum_and_preemption(spark):
+    members = spark.range(1, 4).toDF("acceptor")
+    own = spark.createDataFrame([(s, 1) for s in range(1, 7)], "slot long, ballot long")
+    cast = {1: [(1, 1), (2, 1)], 2: [(1, 1), (2, 2)], 3: [(1, 1), (1, 1), (9, 1)], 4: [(1, 1), (3, 1), (2, 2)], 5: [(2, 2), (1, 1), (3, 1)], 6: [(1, 1), (2, 2), (3, 2)]}
+    votes = spark.createDataFrame([(a, s, b, i) for s, vs in cast.items() for i, (a, b) in enumerate(vs)], "acceptor long, slot long, ballot long, arrival long")
+    got = {r["slot"]: r["outcome"] for r in consensus.outcomes(own, votes, members).collect()}
+    assert got == {1: "decided", 2: "preempted", 3: "open", 4: "decided", 5: "preempted", 6: "preempted"}
+    assert sorted((r["slot"], r["ballot"]) for r in consensus.quorum(votes, members).collect()) == [(1, 1), (4, 1), (5, 1), (6, 2)]
+    times = spark.createDataFrame([(1, 1), (2, 900), (4, 1), (5, 900)], "slot long, ts_ms long")
+    kept, low = consensus.reaped(times, 1000, 200)
+    assert low == 2 and sorted(r["slot"] for r in kept.collect()) == [2, 4, 5]
+    assert consensus.reaped(times, 5000, 200)[1] == 6
+
+
+def test_integers_beyond_doubles(spark):
+    waits = spark.createDataFrame([(n,) for n in range(1000)], "w long").select("w", replication.catch_up_timeout_ms(F.col("w")).alias("t")).collect()
+    assert all(r["t"] == 1000 + 10 * r["w"] for r in waits)
+    big = (1 << 61) + 12345
+    assert spark.range(1).select(stats.truncated_average(F.array(F.lit(big), F.lit(big)))).first()[0] == big
+    rows = spark.createDataFrame([(1, 10**17), (2, 10**17 + 1), (3, 7)], "seq long, x long")
+    assert [tuple(map(int, r)) for r in stats.weighted_average(rows, "x").orderBy("seq").collect()] == [(1, 10**17, 1), (2, 3 * 10**17 + 2, 3), (3, 3 * 10**17 + 23, 6)]
+
+
+def test_ranges_reach_the_reader(spark):
+    from foldlog import schema
+
+    plain = schema.event_log(spark, "/root/testdata/sf0.001", 0)
+    for df in (log.seq_range(plain, 200, 300), log.point(plain, 77), log.tail(plain, 20)):
+        assert "event_id" in df._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("]")[0]
+
+
 def test_members_and_statistics(spark):
     m = spark.createDataFrame([("a", "r1", 100), ("b", None, 0), ("x", "r2", 90)], "path string, ref string, last_seen long")
     config = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
