@@ -84,8 +84,8 @@ def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> Data
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
     both = written(spark, both.distinct(), "edges")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        down = labels.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        seen = both.join(sized(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), 64), "other").groupBy("node").agg(F.min("near").alias("near"))
+        down = labels.join(sized(written(spark, seen, "seen"), 64), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         down = written(spark, down, "labels")
         # Follow the new label one step further: the node it names may know a smaller one. Names are fewer than nodes.
         named = down.select(F.col("new.node").alias("name")).distinct()
