@@ -2,6 +2,11 @@
 
 Every stage is a function of (spark, docs, sf_dir). Its result is written as Parquet and read again as the docs of the
 next one. All stages but the last return the columns of ``documents``; the last adds the sampling columns.
+
+Defined cases: null and empty texts have too few words and go in the first stage; null languages and sources are
+categories of their own; repeated rows and exact copies share all decisions up to near-dedup, which keeps one of them
+(ties between copies go by the smallest id); very long texts are taken whole; an empty table gives an empty table; other
+columns of ``docs`` are left out, whatever their names.
 """
 
 from __future__ import annotations
