@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -51,6 +52,20 @@ def test_stages_against_brute_force(spark):
     assert clean == {d for d in ids if not hits[d][4]}
 
 
+def test_stages_on_odd_rows(spark):
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(200))
+    rows = [(1, prose, "en", "a", 1, "x"), (1, prose, "en", "a", 1, "x"), (2, prose, None, None, None, "y"), (None, None, None, "b", 3, "z"), (3, "", "en", "b", 0, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, flags string")
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, SF)
+            assert out.columns[:5] == corpus_pipeline.COLUMNS, name
+            ids = sorted(str(r["doc_id"]) for r in out.collect())
+            wanted = {"quality_rules": ["1", "1", "2"], "near_dedup": ["1", "3", "None"]}.get(name, ["1", "1", "2", "3", "None"])
+            assert (ids == wanted or name == "mix_sources") if some is docs else ids == [], name
+
+
 def test_run_gives_a_weighted_sample(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -68,5 +83,12 @@ def test_compression_bands():
     prose = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400))
     turned = " ".join(" ".join([rng.choice(["alpha", "beta", "gamma", "delta"]) + str(i)] * 6) for i in range(60))
     noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(24)) for _ in range(300))
+    for text in (prose, turned, noise, prose[:700], prose + noise[:3000], noise[:1500] + prose):  # the verdict by plain counting
+        data = text.encode()
+        size = lambda b: len(z.compress(b)) / len(b)
+        inside = lambda b, bands: next(low <= size(b) <= high for most, low, high in bands if len(b) <= most)
+        odd = sum(len(c) for c in (data[i : i + 4096] for i in range(0, len(data), 4096)) if not inside(c, quality.CHUNK_BANDS))
+        wanted = not base_rules(text)[5] and inside(data, quality.BANDS) and odd <= 0.3 * len(data)
+        assert quality.measured(text, z)[6] == wanted
     kept = {name: quality.measured(text, z)[6] for name, text in {"prose": prose, "turned": turned, "noise": noise, "empty": "", "null": None}.items()}
     assert kept == {"prose": True, "turned": False, "noise": False, "empty": False, "null": False}
