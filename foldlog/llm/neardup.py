@@ -8,7 +8,7 @@ the smaller weights over the sum of the larger ones. A text throws about k ln k
 
 Flow: one pass over the texts gives each document a digest of its words (equal digests: exact copies) and a
 signature. Distinct digests are banded. In a bucket of up to SMALL members all pairs are candidates; in a larger one
-every member is paired with the bucket's hub, verified and joined into components. Members of buckets that hold several
+every member is paired with a hub, the member closest to most, verified and joined into components. Members of buckets that hold several
 components even then are compared by an exact prefix-filter join over their elements, rarest first, so no pair of them
 is left out. Candidates are verified by exact weighted similarity; classes are connected components. Classes are what is
 returned, not links: within a group of copies these would be all pairs.
@@ -192,17 +192,20 @@ def _band_keys(sig: Column) -> Column:
 def _pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Some candidate pairs (a, b) of members (node, key), and the members of buckets over SMALL (node, key).
 
-    A bucket's size and hub (the smallest number) are aggregated, with partial sums, and joined back, so no bucket has to
-    fit in a task.
+    A large bucket's hub is the member with the most company over all its large buckets: within a group of near copies
+    that is a text close to most of them. Sizes and hubs are aggregated, with partial sums, and joined back, so no bucket
+    has to fit in a task.
     """
     spark = members.sparkSession
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = written(spark, members.join(sized(written(spark, sizes, "buckets"), 48), "key"), "placed")
     listed = placed.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     first = listed.select("all", F.posexplode("all").alias("i", "a"))
     within = first.select("a", F.explode(F.slice("all", F.col("i") + 2, SMALL)).alias("b"))
-    large = placed.where(F.col("n") > SMALL)
-    star = large.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    large = placed.where(F.col("n") > SMALL).select("node", "key", "n")
+    company = written(spark, large.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    hubs = large.join(sized(company, 48), "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("hub"))
+    star = large.join(sized(written(spark, hubs, "hubs"), 48), "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return within.unionByName(star).distinct(), large.select("node", "key")
 
 
@@ -250,7 +253,8 @@ def _prefix_pairs(sets: DataFrame, joined: DataFrame, similarity: float) -> Data
 
     With the elements in one order, rarest first, a set of n elements meets one no smaller among its first
     n - 2s/(1+s) n + 1, and one no larger among its first n - s n + 1. What a frame of many sets repeats comes last.
-    Elements that one set alone has fill its prefix and join nothing.
+    Elements that one set alone has fill its prefix and join nothing. A pair is made only where enough elements are left
+    on both sides for a match (positional filter): this holds at the first element that a match shares.
     """
     spark = sets.sparkSession
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("element"))
@@ -259,13 +263,16 @@ def _prefix_pairs(sets: DataFrame, joined: DataFrame, similarity: float) -> Data
     length = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("all"))).cast("int")
     cut = listed.withColumns({"probed": length(similarity), "indexed": length(2 * similarity / (1 + similarity))}).where("probed > 0")
     names = joined.select("node", F.col("label.node").alias("name"))
-    cut = cut.select("node", "n", "indexed", F.slice("all", F.lit(1), F.col("probed")).alias("all")).join(names, "node", "left").withColumn("name", F.coalesce("name", "node"))
-    first = cut.select("node", "n", "name", "indexed", F.posexplode("all").alias("i", "x"))
-    first = written(spark, first.select("node", "n", "name", (F.col("i") < F.col("indexed")).alias("indexed"), "x.element"), "prefixes")
+    alone = (F.col("n") - F.size("all")).alias("alone")
+    cut = cut.select("node", "n", "indexed", alone, F.slice("all", F.lit(1), F.col("probed")).alias("all")).join(names, "node", "left").withColumn("name", F.coalesce("name", "node"))
+    first = cut.select("node", "n", "name", "indexed", "alone", F.posexplode("all").alias("i", "x"))
+    left = (F.col("n") - F.col("alone") - F.col("i")).alias("left")
+    first = written(spark, first.select("node", "n", "name", (F.col("i") < F.col("indexed")).alias("indexed"), left, "x.element"), "prefixes")
     some = first.groupBy("element").agg(F.min("name").alias("least"), F.max("name").alias("most"), F.max("indexed").alias("any")).where("least != most AND any").select("element")
     met = first.join(some, "element", "left_semi")
-    large, small = met.select("element", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "name")]), met.where("indexed").drop("indexed")
-    both = large.join(small, "element").where((F.col("name_x") != F.col("name")) & (F.struct("n_x", "node_x") > F.struct("n", "node")) & (F.col("n") >= F.lit(similarity) * F.col("n_x") - 1e-9))
+    large, small = met.select("element", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "name", "left")]), met.where("indexed").drop("indexed")
+    enough = F.least("left", "left_x") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n_x")) - 1e-9
+    both = large.join(small, "element").where((F.col("name_x") != F.col("name")) & (F.struct("n_x", "node_x") > F.struct("n", "node")) & (F.col("n") >= F.lit(similarity) * F.col("n_x") - 1e-9) & enough)
     return both.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
