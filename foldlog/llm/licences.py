@@ -1,10 +1,14 @@
 """Licence scans by an exact set-similarity join of text blocks with licence templates.
 
-Blocks are lines; a block matches a template if it holds at least CONTAINMENT of the template's distinct words. The
-words of all templates are ordered by their frequency over all blocks, rarest first. A template's prefix is so long
+Blocks are lines and, since notices are wrapped at any column, windows of words that don't heed line feeds: a template
+of up to ``half`` words (a power of two) is looked for in windows of ``2 * half`` words that begin every ``half`` words,
+so each run of as many words as the template lies whole in one of them. A block matches a template if it holds at least
+CONTAINMENT of the template's distinct words. The words of all templates are ordered by their frequency over all lines,
+rarest first. A template's prefix is so long
 that a match must share a word with it (prefix filter); a block needs as many template words as a match (length
 filter); and from the places of the shared word on enough words must be left on both sides (positional filter). What
-passes is verified exactly. Words that no template has cannot add to an overlap and are left out from the start.
+passes is verified exactly. Words that no template has cannot add to an overlap and are left out from the start, and so are texts
+that hold too few words of each template as a whole.
 
 Broadcast are only the templates: their words and prefixes, a size that the templates given bound.
 
@@ -51,49 +55,90 @@ def _count(text: Column, part: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
 
 
-def template_words(text: str) -> list[str]:
+def template_tokens(text: str) -> list[str]:
     lowered = text.translate(str.maketrans(UPPER, LOWER))
-    return sorted(set("".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in lowered).split()))
+    return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in lowered).split()
 
 
-def _blocks(docs: DataFrame, text_col: str, vocabulary: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    """Each line's distinct words that a template has, in the order of the line; lines without any are left out."""
-    lowered = ascii_lower(F.coalesce(quoted(text_col), F.lit("")))
-    # The outer form: for the plain one the optimizer adds a filter that splits the texts a second time.
-    lines = F.explode_outer(F.split(F.regexp_replace(lowered, _GAP, " "), "\n"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    return docs.select(*extra, lines.alias("line")).select(*[c for c in ("doc", "text_key", "text_key2") if extra], F.array_intersect(F.split("line", " "), known).alias("words")).where(F.size("words") > 0)
+def template_words(text: str) -> list[str]:
+    return sorted(set(template_tokens(text)))
+
+
+def window_words(text: str) -> int:
+    """Words of the windows in which a template is looked for."""
+    half = 1
+    while half < len(template_tokens(text)):
+        half *= 2
+    return 2 * half
+
+
+def _needed(words: Sequence[str], containment: float) -> int:
+    return math.ceil(containment * len(words) - 1e-9)
+
+
+def _strings(words: Sequence[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _once(value: Column, name: str) -> Column:
+    """A column computed once: as the output of a generator the optimizer doesn't repeat it in each place that uses it."""
+    return F.explode_outer(F.array(value)).alias(name)
+
+
+def _spaced(text_col: str) -> Column:
+    """The text in lower case with spaces for all that separates words but line feeds."""
+    return F.regexp_replace(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), _GAP, " ")
+
+
+def _lines(spaced: Column, vocabulary: Sequence[str]) -> Column:
+    """Each line's distinct words that a template has, in the order of the line."""
+    return F.transform(F.split(spaced, "\n"), lambda line: F.array_intersect(F.split(line, " "), _strings(vocabulary)))
+
+
+def _windows(words: Column, vocabulary: Sequence[str], size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size // 2 + 1), F.lit(size // 2))
+    return F.transform(starts, lambda at: F.array_intersect(F.slice(words, at, F.lit(size)), _strings(vocabulary)))
 
 
 def frequencies(docs: DataFrame, text_col: str, vocabulary: Sequence[str]) -> dict[str, int]:
-    """In how many blocks of all documents each word of the templates stands. As many rows as the templates have words."""
-    counted = _blocks(docs, text_col, vocabulary).select(F.explode("words").alias("word")).groupBy("word").count()
+    """In how many lines of all documents each word of the templates stands. As many rows as the templates have words."""
+    # The outer form: for the plain one the optimizer adds a filter that splits the texts a second time.
+    lines = docs.select(F.explode_outer(_lines(_spaced(text_col), vocabulary)).alias("words")).where(F.size("words") > 0)
+    counted = lines.select(F.explode("words").alias("word")).groupBy("word").count()
     return {r["word"]: r["count"] for r in counted.collect()}
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Matching blocks: ``doc``, ``text_key``, ``text_key2``, ``label`` and the greatest ``containment``, once a label."""
     spark = docs.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
+    sets = [(label, template_words(text), window_words(text)) for label, text in templates]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
     count = frequencies(docs, text_col, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     index = []
-    for k, (label, words) in enumerate(sets):
-        ranks = sorted(rank[w] for w in words)
-        need = math.ceil(containment * len(ranks) - 1e-9)
-        index += [(r, k, label, i, need, ranks) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, template int, label string, i int, need int, ranks array<int>"))
+    for k, (label, words, size) in enumerate(sets):
+        ranks, need = sorted(rank[w] for w in words), _needed(words, containment)
+        index += [(r, k, label, i, need, size, ranks) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, template int, label string, i int, need int, size int, ranks array<int>"))
     numbers = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
     leading = F.array(*[F.lit(r) for r in sorted({x[0] for x in index})])
     key = [quoted(id_col).alias("doc"), F.xxhash64(quoted(text_col)).alias("text_key"), F.hash(quoted(text_col)).alias("text_key2")]
     least = min(x[4] for x in index)
-    blocks = _blocks(docs, text_col, vocabulary, key).where(F.size("words") >= least)
+    names = ["doc", "text_key", "text_key2"]
+    whole = docs.select(*key, _once(_spaced(text_col), "spaced"))
+    whole = whole.select("*", _once(F.split(F.translate("spaced", "\n", " "), " +"), "all"))
+    known = whole.select("*", _once(F.array_intersect("all", _strings(vocabulary)), "known"))
+    enough = [F.size(F.array_intersect("known", _strings(words))) >= _needed(words, containment) for _, words, _ in sets]
+    likely = known.where(reduce(lambda a, b: a | b, enough)).select(*names, "spaced", "all")
+    kinds = [F.struct(F.lit(0).alias("of"), _lines(F.col("spaced"), vocabulary).alias("found"))]
+    kinds += [F.struct(F.lit(size).alias("of"), _windows(F.col("all"), vocabulary, size).alias("found")) for size in sorted({size for *_, size in sets})]
+    each = likely.select(*names, F.explode_outer(F.array(*kinds)).alias("kind")).select(*names, F.col("kind.of").alias("of"), F.explode_outer("kind.found").alias("words"))
+    blocks = each.where(F.size("words") >= least)
     ordered = blocks.withColumn("have", F.array_sort(F.transform("words", lambda w: numbers[w]))).drop("words")
     shared = F.filter(F.transform("have", lambda r, j: F.struct(j.alias("j"), r.alias("rank"))), lambda x: F.array_contains(leading, x["rank"]))
-    probes = ordered.withColumn("x", F.explode(shared)).select("doc", "text_key", "text_key2", "have", F.col("x.j").alias("j"), F.col("x.rank").alias("rank"))
+    probes = ordered.withColumn("x", F.explode(shared)).select(*names, "of", "have", F.col("x.j").alias("j"), F.col("x.rank").alias("rank"))
     left = F.least(F.size("ranks") - F.col("i"), F.size("have") - F.col("j"))
-    found = probes.join(prefixes, "rank").where((F.size("have") >= F.col("need")) & (left >= F.col("need")))
+    found = probes.join(prefixes, "rank").where((F.col("of") == 0) | (F.col("of") == F.col("size"))).where((F.size("have") >= F.col("need")) & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("have", "ranks"))
     found = found.where(overlap >= F.col("need")).withColumn("containment", overlap / F.size("ranks"))
     return found.groupBy("doc", "text_key", "text_key2", "label").agg(F.max("containment").alias("containment"))

@@ -41,14 +41,16 @@ SELECT doc_id, class_id, doc_id = class_id AS representative FROM d JOIN class U
 
 def licence_scan() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licences.PHRASES)
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in licences.template_words(t))}])" for label, t in licences.TEMPLATES)
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in licences.template_words(t))}], {licences.window_words(t)})" for label, t in licences.TEMPLATES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_words("coalesce(text, '')")} AS w FROM documents),
-phrases(phrase, label, n) AS (VALUES {phrases}), templates(label, words) AS (VALUES {templates}),
+phrases(phrase, label, n) AS (VALUES {phrases}), templates(label, words, size) AS (VALUES {templates}),
 spots AS (SELECT rid, k - 1 AS place, label FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS k FROM d) p JOIN phrases ON array_to_string(p.w[k:k + n - 1], ' ') = phrase),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM spots GROUP BY rid),
-lines AS (SELECT rid, list_distinct({_words("line")}) AS have FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
-found AS (SELECT rid, label, max(len(list_intersect(have, words)) / len(words)) AS share FROM lines, templates WHERE len(list_intersect(have, words)) >= {licences.CONTAINMENT} * len(words) - 1e-9 GROUP BY ALL),
+blocks AS (
+  SELECT rid, 0 AS of, list_distinct({_words("line")}) AS have FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+  UNION ALL SELECT rid, size, list_distinct(w[k:k + size - 1]) FROM (SELECT rid, w, size, unnest(range(1, greatest(1, len(w) - size // 2 + 1) + 1, size // 2)) AS k FROM d, (SELECT DISTINCT size FROM templates))),
+found AS (SELECT rid, label, max(len(list_intersect(have, words)) / len(words)) AS share FROM blocks, templates WHERE of IN (0, size) AND len(list_intersect(have, words)) >= {licences.CONTAINMENT} * len(words) - 1e-9 GROUP BY ALL),
 more AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from foldlog.llm import licences
 
@@ -16,9 +17,13 @@ def brute(rows, templates=licences.TEMPLATES):
         w = words_of(text)
         spots = [(i, label) for phrase, label in licences.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
         base, more, best = {x for _, x in spots}, set(), 0.0
-        for line in (text or "").split("\n"):
-            have = set(words_of(line))
+        blocks = [(0, set(words_of(line))) for line in (text or "").split("\n")]
+        for half in {licences.window_words(t) // 2 for _, t in templates}:
+            blocks += [(2 * half, set(w[at : at + 2 * half])) for at in range(0, max(1, len(w)), half)]
+        for size, have in blocks:
             for label, t in templates:
+                if size not in (0, licences.window_words(t)):
+                    continue
                 want = set(words_of(t))
                 share = len(have & want) / len(want)
                 if share >= 0.8:
@@ -58,6 +63,22 @@ def test_equals_brute_force(spark):
     assert {k: v for k, v in got.items() if v != expected[k]} == {} and len(got) == len(rows)
 
 
+def test_notices_wrapped_at_any_column(spark):
+    """Each notice within other words, hard-wrapped, with and without comment marks; other long texts get no label."""
+    rng = random.Random(8)
+    other = lambda n: [f"q{rng.randrange(900)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for i, (label, notice) in enumerate(licences.TEMPLATES):
+        for j, width in enumerate((20, 40, 72)):
+            lines = textwrap.wrap(" ".join(other(rng.randint(0, 300)) + [notice] + other(rng.randint(0, 300))), width)
+            rows.append((10 * i + j, "\n".join(rng.choice(("", " * ", "// ")) + x for x in lines)))
+            wanted[10 * i + j] = label
+    rows.append((999, "\n".join(" ".join(other(9)) for _ in range(2_000))))
+    got = run(spark, rows)
+    assert all(wanted[k] in got[k][5].split(",") for k in wanted) and got[999][4:] == ("", "", 0.0)
+    assert got == brute(rows)
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(licences, "BROADCAST_ROWS", 0)
     rows = corpus()
