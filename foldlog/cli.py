@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foldlog.functions import text
-from foldlog.operators import compaction, filters, keys, segments
+from foldlog.operators import compaction, filters, keys
 from foldlog.operators import log as scans
 from foldlog.sources import tables
 
@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     command("convert-to-segmented", lambda spark, a: tables.convert(spark, a.source, a.target, a.size), "source", "target", size=tables.PER_SEGMENT)
     command("convert-to-single", lambda spark, a: tables.convert(spark, a.source, a.target, None), "source", "target")
     command("init-segmented", lambda spark, a: tables.init_segmented(spark, a.target), "target")
+    command("compact-segments", lambda spark, a: print(*tables.compact_segments(spark, a.source)), "source")
     command("status", _status, "source")
     return top
 
@@ -67,7 +68,7 @@ def _status(spark: SparkSession, a) -> None:
     log = tables.read(spark, a.source)
     print(scans.bounds(log).first().asDict() | tables.bytes_on_disk(spark, a.source).first().asDict())
     if "seg" in log.columns:
-        for row in segments.manifest(log).orderBy("seg").toLocalIterator():
+        for row in tables.manifest(spark, a.source).orderBy("seg").toLocalIterator():
             print(row.asDict())
 
 

@@ -128,3 +128,31 @@ def test_live_apply(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "state" / "version=1")).collect()
     assert sorted((r["key"], r["op"], r["body"]) for r in rows) == [("a", "DELETE", None), ("b", "PUT", "z")]
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_segments_are_compacted_in_place(spark, log, tmp_path, capsys):
+    path = str(tmp_path / "log")
+    tables.write_segmented(log, path, 10)
+    tables.set_flag(spark, path, 2, "applied")
+    cli.main(["compact-segments", path], spark)
+    assert capsys.readouterr().out.split() == ["1", "2", "3"]
+    kept = {s: sorted(r["seq"] for r in tables.read(spark, path).where(F.col("seg") == s).collect()) for s in (1, 2, 3, 4)}
+    assert kept == {1: list(range(4, 11)), 2: list(range(14, 21)), 3: list(range(24, 31)), 4: list(range(31, 41))}
+    flags = {r["seg"]: (r["is_live"], r["applied"], r["internally_compacted"]) for r in tables.manifest(spark, path).collect()}
+    assert flags == {1: (False, False, True), 2: (False, True, True), 3: (False, False, True), 4: (True, False, False)}
+    assert tables.compact_segments(spark, path) == []
+    tables.delete_segment(spark, path, 2)
+    tables.delete_segment(spark, path, 99)
+    assert sorted(r["seg"] for r in tables.manifest(spark, path).collect()) == [1, 3, 4]
+
+
+def test_interrupted_replacements_are_repaired(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    tables.write_segmented(log, path, 10)
+    os.rename(f"{path}/seg=1", f"{path}/.1.temp")  # between the renames
+    log.where("seq = 7").write.parquet(f"{path}/.1.compacting")
+    log.where("seq = 17").write.parquet(f"{path}/.2.compacting")  # while writing
+    log.where("seq = 27").write.parquet(f"{path}/.3.temp")  # before the last step
+    assert tables.repair(spark, path) == [("1", "promote compacting"), ("2", "drop compacting"), ("3", "drop temp")]
+    assert sorted(r["seq"] for r in tables.read(spark, path).collect()) == [7, *range(11, 41)]
+    assert tables.repair(spark, path) == [] and not [n for n in os.listdir(path) if n.endswith(("temp", "compacting"))]
