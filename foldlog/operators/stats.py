@@ -15,6 +15,15 @@ def replay_report(results: DataFrame, status: str = "status", ok="200") -> DataF
     return counted.join(F.broadcast(total)).select(status, "n", F.round(F.col("n") / F.col("__all"), 4).alias("share"), F.round(F.col("__bad") / F.col("__all"), 4).alias("error_rate"))
 
 
+def batch_report(results: DataFrame, size: int, ok: int = 200) -> DataFrame:
+    """One row a batch of ``size`` results (seq, status, ms) in the order of seq: ``batch`` (from 0), ``n``, ``average_ms``
+    (cut to an integer), ``error_rate`` and ``per_second``: results over the sum of their durations (null if that is 0)."""
+    rows = ordered.row_numbers(results.select("seq", "status", "ms")).withColumn("batch", F.call_function("div", F.col("rn") - 1, F.lit(size)).cast("long"))
+    summed = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), F.count_if(F.col("status") != ok).alias("bad"))
+    rate = F.when(F.col("ms") > 0, F.round(1000 * F.col("n") / F.col("ms"), 4))
+    return summed.select("batch", "n", F.call_function("div", F.col("ms"), F.col("n")).alias("average_ms"), F.round(F.col("bad") / F.col("n"), 4).alias("error_rate"), rate.alias("per_second"))
+
+
 def weighted_average(df: DataFrame, value: str, order: str = "seq") -> DataFrame:
     """The running average in which the i-th value weighs i, exact: ``numerator`` over ``denominator``."""
     rows = ordered.row_numbers(df.select(order, value), "n", order)

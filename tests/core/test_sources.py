@@ -90,6 +90,12 @@ def test_replay_with_a_given_transport(spark, log):
     assert sum(counts.values()) == 40 and counts[0] == log.where("key = 'k3'").count() and set(counts) == {0, 200, 404}
 
 
+def test_report_by_batch(spark):
+    rows = [(2 * i, 200 if i % 3 else 0, i) for i in range(7)]
+    out = stats.batch_report(spark.createDataFrame(rows, "seq long, status int, ms long"), 4).orderBy("batch").collect()
+    assert [tuple(r) for r in out] == [(0, 4, 1, 0.5, 666.6667), (1, 3, 5, 0.3333, 200.0)]
+
+
 ROW = "log string, arrival long, kind string, seq long, op string, key string, body string"
 
 
