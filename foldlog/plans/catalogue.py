@@ -555,6 +555,14 @@ def status_report(spark, sf_dir):
     return stats.replay_report(schema.table(spark, sf_dir, "events"), "event_type", "view")
 
 
+@query("""WITH r AS (SELECT (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS batch, event_type, 1 + event_id % 97 AS ms FROM events)
+SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, (sum(ms) // count(*))::BIGINT AS average_ms, round(count(*) FILTER (event_type <> 'view') / count(*), 4) AS error_rate, round(1000 * count(*) / sum(ms), 4) AS per_second FROM r GROUP BY 1""")
+def batch_report(spark, sf_dir):
+    events = schema.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", 200).otherwise(500)
+    return stats.batch_report(events.select(F.col("event_id").alias("seq"), status.alias("status"), (1 + F.col("event_id") % 97).alias("ms")), 1000)
+
+
 @query(f"WITH {LOG}, n AS (SELECT seq, length(body) AS x, row_number() OVER (ORDER BY seq) AS i FROM log) SELECT seq, (sum(i * x) OVER (ORDER BY seq))::BIGINT AS numerator, (i * (i + 1) // 2)::BIGINT AS denominator FROM n")
 def weighted_avg_write(spark, sf_dir):
     rows = _log(spark, sf_dir).select("seq", F.length("body").cast("long").alias("x"))
