@@ -58,7 +58,8 @@ def append(log: DataFrame, batch: DataFrame, path: str) -> None:
 def merge_plan(rows: DataFrame, most: int) -> DataFrame:
     """``into`` for each segment: neighbours are merged from the left while both are applied and fit in ``most`` events.
 
-    Works on the manifest, one row for very many events: its rows stream through one task in order.
+    Works on the manifest, one row for very many events: its rows stream through one task in order. They are shuffled to
+    it, so that what makes them runs in tasks of its own.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -73,7 +74,7 @@ def merge_plan(rows: DataFrame, most: int) -> DataFrame:
                 into.append(name)
             yield batch.assign(into=into)[["seg", "n", "into"]]
 
-    ordered_rows = rows.select("seg", "n", "applied").coalesce(1).sortWithinPartitions("seg")
+    ordered_rows = rows.select("seg", "n", "applied").repartition(1).sortWithinPartitions("seg")
     return ordered_rows.mapInPandas(run, "seg long, n long, into long")
 
 

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from foldlog.functions import checksum, codec, text
@@ -91,6 +92,17 @@ def test_layout_appends_and_merging(spark):
     assert merged([1, 1, 1, 1], 9, [True, False, True, True]) == [1, 2, 3]
 
 
+def test_merge_plan_leaves_the_work_before_it_in_tasks_of_its_own(spark):
+    def numbered(batches):
+        for batch in batches:
+            yield batch.assign(n=TaskContext.get().taskAttemptId(), applied=True)[["seg", "n", "applied"]]
+
+    rows = spark.range(1, 9, numPartitions=4).toDF("seg").mapInPandas(numbered, "seg long, n long, applied boolean")
+    plan = segments.merge_plan(rows, 0).collect()
+    assert [(r["seg"], r["into"]) for r in plan] == [(i, i) for i in range(1, 9)]
+    assert len({r["n"] for r in plan}) == 4
+
+
 def test_ranges(spark):
     dense = events(spark, [(i, 0, "P", str(i)) for i in range(1, 12)])
     one = F.lit(1)
