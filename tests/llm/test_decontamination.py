@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from foldlog.llm import decontamination
+from pyspark.sql import types as T
+
+from foldlog.llm import common, decontamination
 
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
@@ -74,3 +76,13 @@ def test_empty_tables(spark):
     assert all(v[1] == 0 and not v[4] for v in run(spark, docs, items[12:14]).values())
     d = spark.createDataFrame([], "doc_id long, text string")
     assert decontamination.contamination(d, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_a_carried_text_goes_to_python_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    sent, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: sent.append(len(self.columns)) or plain(self, *a, **k))
+    out = T.StructType([T.StructField("n", T.LongType())])
+    made = common.map_texts(docs, ["doc_id", "text"], "text", lambda: lambda texts: [[len(t or "") for t in texts]], out)
+    assert sent == [2]
+    assert sorted(map(tuple, made.collect())) == [(1, "one two", 7), (2, None, 0)]
